@@ -149,11 +149,13 @@ def tier_distribution(t: Tables) -> DataFrame:
 
 def order_activity(t: Tables, as_of, n: int = 5) -> DataFrame:
     """Tenure and order count, any status, for the first ``n`` customers by id."""
-    orders = t.orders.groupBy("customer_id").agg(F.count("order_id").alias("total_orders"))
     first = t.customers.orderBy("customer_id").limit(n)
-    return first.join(orders, "customer_id", "left").select(
+    shown = F.broadcast(first.select("customer_id"))  # n rows
+    orders = t.orders.join(shown, "customer_id", "left_semi").groupBy("customer_id")
+    counts = orders.agg(F.count("order_id").alias("total_orders"))
+    return first.join(counts, "customer_id", "left").select(
         "customer_id",
         "customer_tier",
         F.datediff(day(as_of), "registration_date").alias("days_since_registration"),
         F.coalesce("total_orders", F.lit(0)).alias("total_orders"),
-    )
+    ).orderBy("customer_id")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from shoplytic.functions.labels import RISK_LEVELS, risk_level
 from shoplytic.operators.churn import MODEL_COLUMNS, churn_ratios
 from shoplytic.operators.filters import by_id
+from shoplytic.session import pinned
 
 # Forest and split settings.
 TREES = 100
@@ -72,7 +73,7 @@ def _balanced(train: DataFrame) -> DataFrame:
     return train.withColumn("class_weight", weight)
 
 
-def churn_pipeline(seed: int = SEED) -> Pipeline:
+def churn_pipeline(seed: int = SEED, trees: int = TREES) -> Pipeline:
     """Tier codes, assembled inputs, forest. Trees need no scaling."""
     tiers = StringIndexer(
         inputCol="customer_tier",
@@ -84,7 +85,7 @@ def churn_pipeline(seed: int = SEED) -> Pipeline:
     forest = RandomForestClassifier(
         labelCol="is_churned",
         weightCol="class_weight",
-        numTrees=TREES,
+        numTrees=trees,
         maxDepth=MAX_DEPTH,
         minInstancesPerNode=MIN_ROWS_PER_LEAF,
         seed=seed,
@@ -97,14 +98,17 @@ def _accuracy(scored: DataFrame) -> float:
     return scored.agg(F.avg(hit)).first()[0]
 
 
-def train_churn(features: DataFrame, seed: int = SEED) -> tuple[PipelineModel, DataFrame]:
+def train_churn(
+    features: DataFrame, seed: int = SEED, trees: int = TREES
+) -> tuple[PipelineModel, DataFrame]:
     """Fit on 80 % and return the model with ``metric, value`` rows."""
     split = stratified_split(churn_ratios(features), "is_churned", "customer_id", seed=seed)
-    # Read by the fit several times and by both evaluations.
-    split = split.persist()
+    # Read by the fit several times and by both evaluations: keep it in memory, and
+    # on shared storage so that a lost executor does not mean reading all orders again.
+    split = pinned(split).persist()
     try:
         train = _balanced(split.filter(~F.col("is_test")))
-        model = churn_pipeline(seed).fit(train)
+        model = churn_pipeline(seed, trees).fit(train)
         tested = model.transform(split.filter(F.col("is_test")))
         auc = BinaryClassificationEvaluator(
             labelCol="is_churned", metricName="areaUnderROC", numBins=0

@@ -57,11 +57,11 @@ def chronological_split(
     )
 
 
-def forecast_pipeline(seed: int = SEED) -> Pipeline:
+def forecast_pipeline(seed: int = SEED, trees: int = TREES) -> Pipeline:
     inputs = VectorAssembler(inputCols=list(FORECAST_COLUMNS), outputCol="features")
     trees = GBTRegressor(
         labelCol="daily_revenue",
-        maxIter=TREES,
+        maxIter=trees,
         stepSize=LEARNING_RATE,
         maxDepth=MAX_DEPTH,
         seed=seed,
@@ -70,7 +70,7 @@ def forecast_pipeline(seed: int = SEED) -> Pipeline:
 
 
 def train_forecast(
-    features: DataFrame, series: Sequence[str] = (), seed: int = SEED
+    features: DataFrame, series: Sequence[str] = (), seed: int = SEED, trees: int = TREES
 ) -> tuple[PipelineModel, DataFrame]:
     """Fit on the first 80 % of days; metrics as one row.
 
@@ -79,9 +79,10 @@ def train_forecast(
     """
     actual = F.col("daily_revenue").cast("double").alias("daily_revenue")
     split = _numeric(chronological_split(features, series), "sales_date", "is_test", actual)
-    # Each tree reads the training days again; pinning also keeps its plan short.
-    split = pinned(split)
-    model = forecast_pipeline(seed).fit(split.filter(~F.col("is_test")))
+    # Each tree reads the days again: keep them in memory, and on shared storage
+    # so that a lost executor does not mean reading the orders once more.
+    split = pinned(split).persist()
+    model = forecast_pipeline(seed, trees).fit(split.filter(~F.col("is_test")))
     y, predicted = F.col("daily_revenue"), F.col("prediction")
     error = F.abs(y - predicted) / F.greatest(F.abs(y), F.lit(_SMALLEST))
     newest = F.when(F.col("is_test"), F.col("sales_date"))

@@ -667,4 +667,17 @@ def oracle_sql() -> dict[str, str]:
                         ELSE 'STANDARD' END AS category_name
             FROM shop_products""",
         "quality_report": f"{base} {_RULES}",
+        # A day is out once the watermark, a day behind the newest order, passed its end.
+        "stream_daily_sales": f"""{_with(SHOP, _daily())}
+            SELECT sales_date, order_count, daily_revenue, avg_order_value, unique_customers
+            FROM daily
+            WHERE sales_date + 1 <= (SELECT MAX(order_date) FROM valid_orders) - 1""",
+        "stream_running_totals": f"""{base}
+            SELECT COUNT(*) AS total_orders, CAST(SUM(total_amount) AS DOUBLE) AS total_revenue,
+                   CAST(SUM(total_amount) AS DOUBLE) / COUNT(*) AS avg_order_value
+            FROM valid_orders""",
+        "stream_first_arrivals": f"""{base}
+            SELECT order_id, customer_id, CAST(total_amount AS DOUBLE) AS total_amount,
+                   order_date
+            FROM valid_orders""",
     }

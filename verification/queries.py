@@ -30,6 +30,7 @@ from shoplytic.plans import forecast as forecast_model
 from shoplytic.schema import Tables
 from shoplytic.sources import tables as sources
 from shoplytic.sources import tpch
+from verification import streams
 
 AS_OF = tpch.AS_OF
 UPDATED_AT = dt.datetime(2001, 8, 1)
@@ -176,7 +177,18 @@ def sql_queries() -> dict[str, Query]:
         "combined_catalogue": combined_catalogue,
         "quality_report": quality.quality_report,
     }
-    return {name: over_tables(operator) for name, operator in operators.items()}
+    runs = {name: over_tables(operator) for name, operator in operators.items()}
+    for stream in (
+        streams.stream_daily_sales,
+        streams.stream_running_totals,
+        streams.stream_first_arrivals,
+    ):
+        runs[stream.__name__] = _plain_stream(stream)
+    return runs
+
+
+def _plain_stream(stream: Query) -> Query:
+    return lambda spark, folder: plain(stream(spark, folder))
 
 
 # A model is trained once per session and folder and used by all its queries.
