@@ -18,6 +18,9 @@ from shoplytic.operators.products import sold_items
 from shoplytic.schema import Tables, valid_orders
 from shoplytic.session import pinned
 
+# Order numbers up to this many may go to every executor: about 2 MB.
+BROADCAST_ROWS = 100_000
+
 
 def baskets(t: Tables) -> DataFrame:
     """Distinct products per valid order."""
@@ -48,7 +51,9 @@ def product_affinity(t: Tables, min_pair_orders: int = 2) -> DataFrame:
 
     sizes = lines.groupBy("order_id").agg(F.count("*").alias("size"))
     large = sizes.orderBy(F.col("size").desc(), "order_id").limit(min_pair_orders - 1)
-    large = large.select("order_id")
+    large = pinned(large.select("order_id"))
+    if min_pair_orders <= BROADCAST_ROWS:
+        large = F.broadcast(large)
     small_lines = lines.join(large, "order_id", "left_anti")
     large_lines = lines.join(large, "order_id", "left_semi")
 

@@ -10,6 +10,7 @@ from shoplytic.functions.labels import full_name
 from shoplytic.functions.numeric import share_pct
 from shoplytic.operators.ranking import global_ranks
 from shoplytic.schema import Tables, valid_orders
+from shoplytic.session import pinned
 
 
 def order_sums(orders: DataFrame) -> DataFrame:
@@ -65,6 +66,7 @@ def customer_ranking(t: Tables) -> DataFrame:
 
 
 def _with_share(paying: DataFrame) -> DataFrame:
+    paying = pinned(paying)  # the total must not sum all orders a second time
     whole = paying.agg(F.sum("total_spent")).scalar()
     return paying.withColumn(
         "pct_of_total_revenue", share_pct(F.col("total_spent"), whole)

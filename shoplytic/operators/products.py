@@ -81,7 +81,11 @@ def product_performance(t: Tables) -> DataFrame:
 
 
 def with_share(sales: DataFrame) -> DataFrame:
-    """Revenue share without the rank: one extra sum, no sort."""
+    """Revenue share without the rank: no sort.
+
+    The products are pinned, so their total does not sum all lines a second time.
+    """
+    sales = pinned(sales)
     whole = sales.agg(F.sum("revenue")).scalar()
     return sales.withColumn("pct_of_total_revenue", share_pct(F.col("revenue"), whole))
 

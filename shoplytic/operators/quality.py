@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,11 +14,63 @@ from shoplytic.schema import Tables
 def _row_rules(df: DataFrame, table: str, rules: dict[str, Column]) -> DataFrame:
     """All rules of one table in one pass; a null outcome is no violation."""
     counts = df.agg(*[F.count_if(broken).alias(name) for name, broken in rules.items()])
-    pairs = F.array(
-        *[F.struct(F.lit(name).alias("rule"), F.col(name).alias("violations")) for name in rules]
+    return _as_rows(counts, **dict.fromkeys(rules, table))
+
+
+def _order_reports(t: Tables) -> DataFrame:
+    """Everything about orders and the lines that name them, in one join.
+
+    Lines shrink to one row per order first. An order without lines and lines
+    without an order both survive the full join.
+    """
+    lines = (
+        t.order_items.filter(F.col("order_id").isNotNull())
+        .groupBy("order_id")
+        .agg(F.count("*").alias("lines"), F.sum("line_total").alias("lines_total"))
     )
-    return counts.select(F.inline(pairs)).select(
-        F.lit(table).alias("table"), "rule", "violations"
+    expected_total = (
+        F.col("subtotal") + F.col("tax_amount") + F.col("shipping_cost") - F.col("discount_amount")
+    )
+    known = t.orders.select(
+        "order_id",
+        "subtotal",
+        (F.col("total_amount") != expected_total).alias("total_wrong"),
+        (~F.col("order_status").isin(*t.statuses)).alias("status_wrong"),
+        F.lit(True).alias("known"),
+    )
+    subtotal_wrong = F.col("subtotal") != F.coalesce("lines_total", F.lit(0))
+    joined = known.join(lines, "order_id", "full").agg(
+        F.count_if("total_wrong").alias("total_matches"),
+        F.count_if("status_wrong").alias("status_known"),
+        F.count_if(subtotal_wrong).alias("subtotal_matches"),
+        F.coalesce(F.sum(F.when(F.col("known").isNull(), F.col("lines"))), F.lit(0)).alias(
+            "order_exists"
+        ),
+    )
+    return _as_rows(
+        joined,
+        total_matches="orders",
+        status_known="orders",
+        subtotal_matches="orders",
+        order_exists="order_items",
+    )
+
+
+def _as_rows(counts: DataFrame, **tables: str) -> DataFrame:
+    """One row of counts as rows of table, rule, violations."""
+    return counts.select(
+        F.inline(
+            F.array(
+                *[
+                    F.struct(
+                        F.lit(table).alias("table"),
+                        F.lit(rule).alias("rule"),
+                        F.col(rule).alias("violations"),
+                    )
+                    for rule, table in tables.items()
+                ]
+            )
+        )
     )
 
 
@@ -52,38 +106,16 @@ def _primary_addresses(t: Tables) -> DataFrame:
 def quality_report(t: Tables) -> DataFrame:
     """Amount identities, value domains, foreign keys and primary addresses."""
     priced = line_total(F.col("quantity"), F.col("unit_price"), F.col("discount_applied"))
-    expected_total = (
-        F.col("subtotal") + F.col("tax_amount") + F.col("shipping_cost") - F.col("discount_amount")
-    )
-    lines = t.order_items.groupBy("order_id").agg(F.sum("line_total").alias("lines_total"))
-    subtotals = t.orders.select("order_id", "subtotal").join(lines, "order_id", "left")
+    line_rules = {
+        "line_total_matches": F.col("line_total") != priced,
+        "quantity_positive": F.col("quantity") <= 0,
+    }
+    tier_rule = {"tier_known": ~F.col("customer_tier").isin(*t.tiers)}
     reports = [
-        _row_rules(
-            t.order_items,
-            "order_items",
-            {
-                "line_total_matches": F.col("line_total") != priced,
-                "quantity_positive": F.col("quantity") <= 0,
-            },
-        ),
-        _row_rules(
-            t.orders,
-            "orders",
-            {
-                "total_matches": F.col("total_amount") != expected_total,
-                "status_known": ~F.col("order_status").isin(*t.statuses),
-            },
-        ),
-        _row_rules(
-            subtotals,
-            "orders",
-            {"subtotal_matches": F.col("subtotal") != F.coalesce("lines_total", F.lit(0))},
-        ),
-        _row_rules(
-            t.customers, "customers", {"tier_known": ~F.col("customer_tier").isin(*t.tiers)}
-        ),
+        _row_rules(t.order_items, "order_items", line_rules),
+        _order_reports(t),
+        _row_rules(t.customers, "customers", tier_rule),
         _orphans(t.orders, "orders", "customer_id", t.customers, "customer_exists"),
-        _orphans(t.order_items, "order_items", "order_id", t.orders, "order_exists"),
         _orphans(t.order_items, "order_items", "product_id", t.products, "product_exists"),
         _orphans(t.products, "products", "category_id", t.categories, "category_exists"),
         _orphans(
@@ -95,7 +127,4 @@ def quality_report(t: Tables) -> DataFrame:
         ),
         _primary_addresses(t),
     ]
-    report = reports[0]
-    for more in reports[1:]:
-        report = report.unionByName(more)
-    return report
+    return functools.reduce(DataFrame.unionByName, reports)

@@ -115,21 +115,32 @@ def ntile(position: Column, rows: Column, buckets: int) -> Column:
 
 
 def exact_median(df: DataFrame, value: str) -> DataFrame:
-    """One row: the interpolated median of the non-null ``value``, as ``median``."""
-    sliced = in_sorted_slices(
-        df.select(value).filter(F.col(value).isNotNull()), F.col(value).asc()
+    """One row: the interpolated median of the non-null ``value``, as ``median``.
+
+    Equal values are counted first, so a value most rows share is a single row.
+    """
+    counts = (
+        df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_rows"))
     )
-    sizes = sliced.groupBy("_slice").agg(F.count("*").alias("_rows"))
+    sliced = in_sorted_slices(counts, F.col(value).asc())
+    sizes = sliced.groupBy("_slice").agg(F.sum("_rows").alias("_in_slice"))
     earlier = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
         "_slice",
-        F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_offset"),
-        F.sum("_rows").over(Window.partitionBy()).alias("_all"),
+        F.coalesce(F.sum("_in_slice").over(earlier), F.lit(0)).alias("_offset"),
+        F.sum("_in_slice").over(Window.partitionBy()).alias("_all"),
+    )
+    in_slice = Window.partitionBy("_slice").orderBy("_row")
+    spans = (
+        sliced.withColumn("_so_far", F.sum("_rows").over(in_slice))
+        .join(offsets, "_slice")
+        .withColumn("_to", F.col("_offset") + F.col("_so_far"))
+        .withColumn("_from", F.col("_to") - F.col("_rows") + 1)
     )
-    position = F.col("_offset") + F.col("_row") + 1
     low = F.floor((F.col("_all") + 1) / 2)
     high = F.floor(F.col("_all") / 2) + 1
-    middle = sliced.join(offsets, "_slice").filter((position == low) | (position == high))
+    middle = spans.filter(low.between(F.col("_from"), F.col("_to"))
+                          | high.between(F.col("_from"), F.col("_to")))
     return middle.agg(
         ((F.min(value).cast("double") + F.max(value).cast("double")) / 2).alias("median")
     )

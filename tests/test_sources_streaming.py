@@ -1,10 +1,8 @@
 import datetime as dt
 
-import pytest
 from pyspark.sql import functions as F
 
 from conftest import AS_OF, day, rows
-from shoplytic.operators import sales
 from shoplytic.schema import SCHEMAS
 from shoplytic.sources import tables, views
 from shoplytic.streaming import sales_stream
@@ -85,9 +83,7 @@ def _stream(spark, folder):
 
 def test_daily_stream_equals_batch(spark, tmp_path):
     _files(spark, str(tmp_path / "in"), *BATCHES)
-    stream = sales_stream.daily_sales_stream(
-        sales_stream.first_arrivals(_stream(spark, tmp_path / "in"), late_by="1 day"),
-    ) if False else sales_stream.daily_sales_stream(_stream(spark, tmp_path / "in"))
+    stream = sales_stream.daily_sales_stream(_stream(spark, tmp_path / "in"))
     sales_stream.append_stream(
         stream, str(tmp_path / "out"), str(tmp_path / "state")
     ).awaitTermination()

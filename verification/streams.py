@@ -27,7 +27,7 @@ def _orders(spark: SparkSession, folder: str) -> DataFrame:
 def _run(spark: SparkSession, stream: DataFrame, write) -> DataFrame:
     home = f"{checkpoint_folder(spark)}/stream-{uuid.uuid4()}"
     write(stream, f"{home}/out", f"{home}/state").awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{home}/out")
+    return spark.read.schema(stream.schema).parquet(f"{home}/out").select(*stream.columns)
 
 
 def stream_daily_sales(spark: SparkSession, folder: str) -> DataFrame:
