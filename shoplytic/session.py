@@ -6,12 +6,17 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-# What the operators rely on: AQE splits a hot join key over several tasks and
-# turns a join side that proved small into a broadcast.
 SETTINGS = {
+    # AQE splits a hot join key over several tasks, and turns a join side that
+    # proved small into a broadcast.
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # A join whose build side proved to fit this size in every partition is hashed
+    # instead of sorted.
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
+    # Checkpoint files go once no frame refers to them.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
