@@ -57,14 +57,19 @@ def retention_insight(features: DataFrame) -> DataFrame:
     return retention_alert_count(features).filter(count > 0).select(*_record(RETENTION, count))
 
 
+def recent_monthly_revenue(t: Tables, as_of: dt.date) -> DataFrame:
+    """Months of the trailing quarter, counted back from ``as_of`` by date."""
+    since = F.add_months(day(as_of), -TRAILING_MONTHS)
+    return monthly_revenue(valid_orders(t).filter(F.col("order_date") >= since))
+
+
 def revenue_trend_signal(t: Tables, as_of: dt.date) -> DataFrame:
     """The last two months of the trailing quarter and the growth between them.
 
     No row unless two months have sales. The newest month is usually still
     running; it is compared as it stands.
     """
-    since = F.add_months(day(as_of), -TRAILING_MONTHS)
-    months = monthly_revenue(valid_orders(t).filter(F.col("order_date") >= since))
+    months = recent_monthly_revenue(t, as_of)
     by_month = Window.orderBy("month")
     latest, previous = F.col("monthly_revenue"), F.col("previous_revenue")
     growth = F.col("growth_rate")

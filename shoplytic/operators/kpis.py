@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shoplytic.functions.labels import money_text
 from shoplytic.functions.numeric import mean_of
 from shoplytic.schema import Tables, valid_orders
 
@@ -36,3 +37,24 @@ def kpi_summary(t: Tables, zero_when_empty: bool = True) -> DataFrame:
         average.alias("avg_order_value"),
         "active_customers",
     )
+
+
+def kpi_texts(t: Tables) -> DataFrame:
+    """The KPIs as ``label, text`` rows with thousands separators."""
+
+    def whole(column: str):
+        return F.format_number(column, 0)
+
+    texts = {
+        "Total Customers": whole("total_customers"),
+        "Total Orders": whole("total_orders"),
+        "Active Products": whole("active_products"),
+        "Total Revenue": money_text(F.col("total_revenue")),
+        "Avg Order Value": money_text(F.col("avg_order_value")),
+        "Active Customers": whole("active_customers"),
+    }
+    pairs = [
+        F.struct(F.lit(label).alias("label"), text.alias("text"))
+        for label, text in texts.items()
+    ]
+    return kpi_summary(t).select(F.inline(F.array(*pairs)))

@@ -35,6 +35,15 @@ def sold_items(t: Tables, *order_columns: str) -> DataFrame:
     return t.order_items.join(orders, "order_id", how)
 
 
+def order_lines(t: Tables) -> DataFrame:
+    """Valid orders at line grain: one row per line, and one for an order without any."""
+    orders = valid_orders(t).select(
+        "order_id", "customer_id", "order_date", "payment_method", "total_amount"
+    )
+    lines = t.order_items.select("order_id", "product_id", "quantity", "line_total")
+    return orders.join(lines, "order_id", "left")
+
+
 def product_sales(t: Tables) -> DataFrame:
     """Per sold product: lines, units, exact revenue, price and profit figures.
 

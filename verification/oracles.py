@@ -104,6 +104,12 @@ def _cents(numerator: str, count: str) -> str:
     return f"(CASE WHEN {numerator} < 0 THEN -1 ELSE 1 END * {whole})"
 
 
+def _money(cents: str) -> str:
+    """Whole hundredths as text with thousands separators and two decimals."""
+    whole, rest = f"CAST({cents} // 100 AS BIGINT)", f"CAST({cents} % 100 AS BIGINT)"
+    return f"format('{{:,}}', {whole}) || '.' || format('{{:02d}}', {rest})"
+
+
 _MARGIN = "(SUM(i.unit_price) - p.unit_cost * COUNT(i.unit_price))"
 _PROFIT = f"CAST({_MARGIN} AS DECIMAL(24,2)) * CAST(SUM(i.quantity) AS DECIMAL(10,0))"
 
@@ -177,37 +183,39 @@ daily AS (
 )"""
 
 
-def _lag(k: int) -> str:
-    return f"CAST(LAG(revenue, {k}) OVER (ORDER BY sales_date) AS DOUBLE)"
+def _lag(k: int, by: str) -> str:
+    return f"CAST(LAG(revenue, {k}) OVER ({by}) AS DOUBLE)"
 
 
-def _trailing(k: int) -> str:
-    frame = f"(ORDER BY sales_date ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW)"
+def _trailing(k: int, by: str) -> str:
+    frame = f"({by} ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW)"
     return (
         f"CASE WHEN COUNT(revenue) OVER {frame} = {k} "
         f"THEN CAST(SUM(revenue) OVER {frame} AS DOUBLE) / {k} END"
     )
 
 
-def _sales_features(lagged: bool) -> str:
+def _sales_features(lagged: bool, series: str = "") -> str:
+    by = f"PARTITION BY {series} ORDER BY sales_date" if series else "ORDER BY sales_date"
+    lead = f"{series}, " if series else ""
     ma, trend = "ma_7", "daily_revenue / NULLIF(ma_7, 0)"
     if lagged:
-        ma = f"LAG({ma}) OVER (ORDER BY sales_date)"
-        trend = f"LAG({trend}) OVER (ORDER BY sales_date)"
+        ma = f"LAG({ma}) OVER ({by})"
+        trend = f"LAG({trend}) OVER ({by})"
     return f"""
-WITH {SHOP}, {_daily()},
+WITH {SHOP}, {_daily(series)},
 wide AS (
     SELECT *,
-           {", ".join(f"{_lag(k)} AS revenue_lag_{k}" for k in (1, 7, 14, 30))},
-           {_trailing(7)} AS ma_7,
-           {_trailing(30)} AS revenue_ma_30,
+           {", ".join(f"{_lag(k, by)} AS revenue_lag_{k}" for k in (1, 7, 14, 30))},
+           {_trailing(7, by)} AS ma_7,
+           {_trailing(30, by)} AS revenue_ma_30,
            CASE WHEN day_of_week IN (0, 6) THEN 1 ELSE 0 END AS is_weekend,
            CASE WHEN EXTRACT(DAY FROM sales_date) <= 5 THEN 1 ELSE 0 END AS is_month_start,
            CASE WHEN EXTRACT(DAY FROM sales_date) >= 25 THEN 1 ELSE 0 END AS is_month_end
     FROM daily
 ),
 full_rows AS (
-    SELECT sales_date, order_count, daily_revenue, avg_order_value, unique_customers,
+    SELECT {lead}sales_date, order_count, daily_revenue, avg_order_value, unique_customers,
            day_of_week, month, revenue_lag_1, revenue_lag_7, revenue_lag_14, revenue_lag_30,
            {ma} AS revenue_ma_7, revenue_ma_30, {trend} AS revenue_trend_7,
            daily_revenue / NULLIF(revenue_lag_1, 0) - 1 AS revenue_growth,
@@ -667,6 +675,51 @@ def oracle_sql() -> dict[str, str]:
                         ELSE 'STANDARD' END AS category_name
             FROM shop_products""",
         "quality_report": f"{base} {_RULES}",
+        "kpi_texts": f"""{base}, n AS (
+            SELECT (SELECT COUNT(*) FROM shop_customers) AS customers,
+                   (SELECT COUNT(*) FROM shop_products WHERE is_active) AS products,
+                   COUNT(*) AS orders, SUM(total_amount) AS revenue,
+                   COUNT(DISTINCT customer_id) AS active
+            FROM valid_orders)
+            SELECT 'Total Customers' AS label, format('{{:,}}', customers) AS text FROM n
+            UNION ALL SELECT 'Total Orders', format('{{:,}}', orders) FROM n
+            UNION ALL SELECT 'Active Products', format('{{:,}}', products) FROM n
+            UNION ALL SELECT 'Total Revenue', {_money("CAST(revenue * 100 AS HUGEINT)")} FROM n
+            UNION ALL SELECT 'Avg Order Value', {_money(_cents("revenue", "orders"))} FROM n
+            UNION ALL SELECT 'Active Customers', format('{{:,}}', active) FROM n""",
+        "customer_spending": f"""{spending}
+            SELECT customer_id, first_name, last_name, customer_tier, registration_date,
+                   total_orders, CAST(total_spent AS DOUBLE) AS total_spent FROM spending""",
+        "top_customer": f"{spending} {top_customers} LIMIT 1",
+        "star_product": f"""{performance}
+            SELECT {REPORT_COLUMNS}, pct_of_total_revenue FROM report
+            ORDER BY total_revenue DESC, product_id LIMIT 1""",
+        "repeat_buyers_by_id": f"""{spending}
+            SELECT * FROM paying WHERE customer_id IN (
+                SELECT customer_id FROM shop_orders GROUP BY customer_id HAVING COUNT(*) > 10)""",
+        "products_of_brand": f"{performance} SELECT * FROM report WHERE brand = 'Brand#1'",
+        "order_lines": f"""{base}
+            SELECT o.order_id, o.customer_id, o.order_date, o.payment_method,
+                   CAST(o.total_amount AS DOUBLE) AS total_amount, i.product_id, i.quantity,
+                   CAST(i.line_total AS DOUBLE) AS line_total
+            FROM valid_orders o LEFT JOIN shop_items i ON i.order_id = o.order_id""",
+        "recent_monthly_revenue": f"""{base}
+            SELECT CAST(date_trunc('month', order_date) AS DATE) AS month,
+                   COUNT(*) AS orders_count,
+                   CAST(SUM(total_amount) AS DOUBLE) AS monthly_revenue
+            FROM valid_orders WHERE order_date >= DATE '2001-08-01' - INTERVAL 3 MONTH
+            GROUP BY 1""",
+        "at_risk_customers": f"{order_features} SELECT * FROM churn WHERE {_AT_RISK}",
+        "sales_features_by_payment": _sales_features(lagged=False, series="payment_method"),
+        "appended_customers": f"""{base}
+            SELECT customer_tier, customer_id FROM shop_customers
+            WHERE customer_tier IN ('BUILDING', 'MACHINERY')""",
+        "sql_over_views": f"""{order_features}
+            SELECT customer_tier, COUNT(*) AS customers,
+                   CAST(SUM(CAST(total_spent AS DECIMAL(28,2))) AS DOUBLE) / COUNT(*) AS avg_clv,
+                   CAST(SUM(days_since_last_order) AS DOUBLE) / COUNT(*) AS avg_recency,
+                   CAST(SUM(orders_last_90_days) AS DOUBLE) / COUNT(*) AS recent_activity
+            FROM churn GROUP BY customer_tier""",
         # A day is out once the watermark, a day behind the newest order, passed its end.
         "stream_daily_sales": f"""{_with(SHOP, _daily())}
             SELECT sales_date, order_count, daily_revenue, avg_order_value, unique_customers

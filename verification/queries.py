@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.ml import PipelineModel
@@ -28,8 +29,9 @@ from shoplytic.plans import churn as churn_model
 from shoplytic.plans import dashboard
 from shoplytic.plans import forecast as forecast_model
 from shoplytic.schema import Tables
+from shoplytic.session import checkpoint_folder
 from shoplytic.sources import tables as sources
-from shoplytic.sources import tpch
+from shoplytic.sources import tpch, views
 from verification import streams
 
 AS_OF = tpch.AS_OF
@@ -116,6 +118,41 @@ def catalogue_filtered(t: Tables) -> DataFrame:
     return filters.products_filtered(products.product_performance(t), CATEGORIES)
 
 
+def repeat_buyers_by_id(t: Tables) -> DataFrame:
+    """Ranked customers picked by a frame of ids: those with more than ten orders."""
+    ids = customers.order_sums(t.orders).filter(F.col("total_orders") > 10)
+    return filters.by_id(customers.customer_ranking(t), "customer_id", ids)
+
+
+def appended_customers(t: Tables) -> DataFrame:
+    """Two tiers appended one after the other to a new table, read back."""
+    target = f"{checkpoint_folder(t.customers.sparkSession)}/appended-{uuid.uuid4()}"
+    columns = ["customer_tier", "customer_id"]
+    for tier in TIERS:
+        part = filters.customers_filtered(t.customers, [tier])
+        sources.append(part, target, columns)
+    sources.append(t.customers.filter("false"), target, columns)
+    return t.customers.sparkSession.read.parquet(target)
+
+
+def sql_over_views(t: Tables) -> DataFrame:
+    """Lifetime value by tier, asked in SQL of the registered feature view."""
+    views.register_views(t, AS_OF)
+    return t.customers.sparkSession.sql(
+        """
+        SELECT customer_tier, count(*) AS customers,
+               cast(sum(total_spent) AS double) / count(*) AS avg_clv,
+               cast(sum(days_since_last_order) AS double) / count(*) AS avg_recency,
+               cast(sum(orders_last_90_days) AS double) / count(*) AS recent_activity
+        FROM customer_ml_features GROUP BY customer_tier
+        """
+    )
+
+
+def recent_months(t: Tables) -> DataFrame:
+    return insights.recent_monthly_revenue(t, AS_OF)
+
+
 def sql_queries() -> dict[str, Query]:
     """Queries with an exact SQL counterpart."""
     operators: dict[str, Callable[[Tables], DataFrame]] = {
@@ -176,6 +213,22 @@ def sql_queries() -> dict[str, Query]:
         "customer_labels": pricing.customer_labels,
         "combined_catalogue": combined_catalogue,
         "quality_report": quality.quality_report,
+        "kpi_texts": kpis.kpi_texts,
+        "customer_spending": customers.customer_spending,
+        "top_customer": lambda t: customers.top_customers(t, 1),
+        "star_product": lambda t: products.top_products(t, 1),
+        "repeat_buyers_by_id": repeat_buyers_by_id,
+        "products_of_brand": lambda t: filters.one_of(
+            products.product_performance(t), "brand", [BRAND]
+        ),
+        "order_lines": products.order_lines,
+        "recent_monthly_revenue": recent_months,
+        "at_risk_customers": lambda t: churn.at_risk(features(t, "order")),
+        "sales_features_by_payment": lambda t: sales.sales_features(
+            sales.daily_sales(t, ["payment_method"]), ["payment_method"]
+        ),
+        "appended_customers": appended_customers,
+        "sql_over_views": sql_over_views,
     }
     runs = {name: over_tables(operator) for name, operator in operators.items()}
     for stream in (
@@ -240,6 +293,14 @@ def churn_predictions_at_horizon(spark: SparkSession, folder: str) -> DataFrame:
     return churn_model.most_likely_first(_predictions(spark, folder, True))
 
 
+def churn_predictions_reloaded(spark: SparkSession, folder: str) -> DataFrame:
+    """The same predictions from a model saved and loaded again."""
+    model, _, current = _churn(spark, folder)
+    path = f"{checkpoint_folder(spark)}/model-{uuid.uuid4()}"
+    churn_model.save_model(model, path)
+    return churn_model.score_churn(churn_model.load_model(path), current)
+
+
 def risk_summary(spark: SparkSession, folder: str) -> DataFrame:
     return churn_model.risk_summary(_predictions(spark, folder, True))
 
@@ -267,6 +328,7 @@ def model_queries() -> dict[str, Query]:
         "churn_metrics": churn_metrics,
         "churn_feature_importance": churn_feature_importance,
         "churn_predictions": churn_predictions,
+        "churn_predictions_reloaded": churn_predictions_reloaded,
         "churn_predictions_at_horizon": churn_predictions_at_horizon,
         "risk_summary": risk_summary,
         "risk_top_customers": risk_top_customers,
