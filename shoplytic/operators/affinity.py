@@ -1,16 +1,21 @@
 """Products bought together.
 
-Listing every pair inside every basket would make one giant basket the whole
-job. The support threshold gives an exact way round it: with a threshold of m,
-set the m - 1 largest baskets aside. A pair found only in those has less than m
-baskets, so every pair that qualifies also occurs in a smaller basket. Pairs are
-listed from the smaller baskets alone, and the large ones only add to the counts
-of pairs already found.
+Listing every pair inside every basket would let a few huge baskets make up the
+whole job. With a support threshold of m there is an exact way round most of it,
+known from set-similarity joins as prefix filtering. Order all baskets by size and
+split every product's baskets into a tail, its m - 1 largest, and a head, the rest.
+Two products that share m baskets share at least one that is in the head of both:
+the smallest shared one has m - 1 larger shared ones behind it. So pairs are listed
+from heads only, where the huge baskets hardly occur, and the tails, at most m - 1
+baskets per product, only add to the counts of pairs already found.
+
+Baskets of ordinary size have few pairs, so they stay in the heads whatever their
+rank: a shorter tail is just as exact.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoplytic.functions.numeric import ratio
@@ -18,8 +23,8 @@ from shoplytic.operators.products import sold_items
 from shoplytic.schema import Tables, valid_orders
 from shoplytic.session import pinned
 
-# Order numbers up to this many may go to every executor: about 2 MB.
-BROADCAST_ROWS = 100_000
+# Baskets up to this many products are never set aside.
+ORDINARY_SIZE = 32
 
 
 def baskets(t: Tables) -> DataFrame:
@@ -27,10 +32,66 @@ def baskets(t: Tables) -> DataFrame:
     return sold_items(t).select("order_id", "product_id").distinct()
 
 
-def _pairs(lines: DataFrame) -> DataFrame:
-    left = lines.select("order_id", F.col("product_id").alias("product_a"))
-    right = lines.select("order_id", F.col("product_id").alias("product_b"))
-    return left.join(right, "order_id").filter(F.col("product_a") < F.col("product_b"))
+def _named(lines: DataFrame, product: str) -> DataFrame:
+    return lines.select("order_id", F.col("product_id").alias(product))
+
+
+def _tails(lines: DataFrame, rows: int) -> DataFrame:
+    """The ``rows`` largest baskets of every product, of those above ordinary size.
+
+    Each task keeps its own largest rows per product before they move, so a
+    product in very many baskets arrives as few rows.
+    """
+    sizes = lines.groupBy("order_id").agg(F.count("*").alias("size"))
+    large = sizes.filter(F.col("size") > ORDINARY_SIZE)
+    largest = Window.partitionBy("product_id").orderBy(
+        F.col("size").desc(), F.col("order_id").desc()
+    )
+    return (
+        lines.join(large, "order_id")
+        .withColumn("place", F.row_number().over(largest))
+        .filter(F.col("place") <= rows)
+        .select("order_id", "product_id")
+    )
+
+
+def _pair_counts(lines: DataFrame, min_pair_orders: int) -> DataFrame:
+    """Exact ``pair_orders`` of all pairs that reach the threshold."""
+    pair = ["product_a", "product_b"]
+    tails = pinned(_tails(lines, min_pair_orders - 1))
+    heads = lines.join(tails, ["order_id", "product_id"], "left_anti")
+
+    found = (
+        _named(heads, "product_a")
+        .join(_named(heads, "product_b"), "order_id")
+        .filter(F.col("product_a") < F.col("product_b"))
+        .groupBy(pair)
+        .agg(F.count("*").alias("in_heads"))
+    )
+    found = pinned(found)
+    # The shared baskets not counted yet: in a's tail, or in b's tail and a's head.
+    in_tail_of_a = (
+        found.select(pair)
+        .join(_named(tails, "product_a"), "product_a")
+        .join(_named(lines, "product_b"), ["order_id", "product_b"])
+    )
+    in_tail_of_b = (
+        found.select(pair)
+        .join(_named(tails, "product_b"), "product_b")
+        .join(_named(heads, "product_a"), ["order_id", "product_a"])
+    )
+    more = (
+        in_tail_of_a.select(pair)
+        .unionByName(in_tail_of_b.select(pair))
+        .groupBy(pair)
+        .agg(F.count("*").alias("in_tails"))
+    )
+    total = F.col("in_heads") + F.coalesce("in_tails", F.lit(0))
+    return (
+        found.join(more, pair, "left")
+        .select(*pair, total.alias("pair_orders"))
+        .filter(F.col("pair_orders") >= min_pair_orders)
+    )
 
 
 def product_affinity(t: Tables, min_pair_orders: int = 2) -> DataFrame:
@@ -41,46 +102,14 @@ def product_affinity(t: Tables, min_pair_orders: int = 2) -> DataFrame:
     if min_pair_orders < 2:
         raise ValueError("min_pair_orders must be at least 2")
 
-    lines = baskets(t)
     # A product in fewer baskets than the threshold is in no qualifying pair.
+    lines = baskets(t)
     support = lines.groupBy("product_id").agg(F.count("*").alias("orders"))
     frequent = support.filter(F.col("orders") >= min_pair_orders)
     lines = pinned(lines.join(frequent.select("product_id"), "product_id", "left_semi"))
-    # Pinned as well: the supports are read for the counts and for both pair sides.
     frequent = pinned(lines.groupBy("product_id").agg(F.count("*").alias("orders")))
 
-    sizes = lines.groupBy("order_id").agg(F.count("*").alias("size"))
-    large = sizes.orderBy(F.col("size").desc(), "order_id").limit(min_pair_orders - 1)
-    large = pinned(large.select("order_id"))
-    if min_pair_orders <= BROADCAST_ROWS:
-        large = F.broadcast(large)
-    small_lines = lines.join(large, "order_id", "left_anti")
-    large_lines = lines.join(large, "order_id", "left_semi")
-
-    found = _pairs(small_lines).groupBy("product_a", "product_b").agg(
-        F.count("*").alias("small_orders")
-    )
-    in_large = (
-        found.join(
-            large_lines.select("order_id", F.col("product_id").alias("product_a")), "product_a"
-        )
-        .join(
-            large_lines.select("order_id", F.col("product_id").alias("product_b")),
-            ["order_id", "product_b"],
-        )
-        .groupBy("product_a", "product_b")
-        .agg(F.count("*").alias("large_orders"))
-    )
-    counted = (
-        found.join(in_large, ["product_a", "product_b"], "left")
-        .select(
-            "product_a",
-            "product_b",
-            (F.col("small_orders") + F.coalesce("large_orders", F.lit(0))).alias("pair_orders"),
-        )
-        .filter(F.col("pair_orders") >= min_pair_orders)
-    )
-
+    counted = _pair_counts(lines, min_pair_orders)
     all_orders = valid_orders(t).agg(F.count("*")).scalar()
     of_a = frequent.select(F.col("product_id").alias("product_a"), F.col("orders").alias("a"))
     of_b = frequent.select(F.col("product_id").alias("product_b"), F.col("orders").alias("b"))

@@ -69,12 +69,15 @@ def _basket_shop(spark, baskets):
     )
 
 
-@pytest.mark.parametrize("threshold", [2, 3, 5])
-def test_affinity_equals_brute_force(spark, threshold):
+@pytest.mark.parametrize(("threshold", "ordinary"), [(2, 32), (3, 32), (2, 0), (5, 0)])
+def test_affinity_equals_brute_force(spark, monkeypatch, threshold, ordinary):
+    monkeypatch.setattr(affinity, "ORDINARY_SIZE", ordinary)
     rng = random.Random(threshold)
     baskets = [rng.choices(range(12), k=rng.randint(1, 5)) for _ in range(60)]
     # Baskets that hold most of all lines, and a repeated product inside one basket.
     baskets += [list(range(60)), list(range(60)), [1, 1, 2]]
+    # Several huge baskets that overlap in part.
+    baskets += [list(range(start, start + 50)) for start in (0, 100, 120, 140, 190)]
     counts = Counter()
     single = Counter()
     for basket in baskets:
