@@ -12,6 +12,7 @@ from shoplytic.llm import (
     cotraining,
     decontamination,
     digest_index,
+    katz,
     line_spread,
     mixing,
     near_duplicates,
@@ -89,6 +90,10 @@ def op8_cover_anchors(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op9_katz_backoff(spark: SparkSession, folder: str) -> DataFrame:
+    return katz.score_documents(read(spark, folder, "documents"))
+
+
 def op10_pigeonhole_leaks(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.find_leaks(
         read(spark, folder, "documents"), read(spark, folder, "benchmark")
@@ -111,6 +116,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op6_line_spread,
         op7_circulant_minhash,
         op8_cover_anchors,
+        op9_katz_backoff,
         op10_pigeonhole_leaks,
         pipeline,
     )
