@@ -66,6 +66,7 @@ def _order_features(orders: DataFrame, recent_from: dt.date) -> DataFrame:
     return orders.groupBy("customer_id").agg(
         F.sum(weight).alias("total_orders"),
         F.sum(amount).alias("total_spent"),
+        F.sum(F.when(F.col("total_amount").isNotNull(), weight)).alias("amounts"),
         F.max("order_date").alias("last_valid_order"),
         F.sum(F.when(recent, weight)).alias("orders_last_90_days"),
         F.sum(F.when(recent, amount)).alias("spent_last_90_days"),
@@ -111,7 +112,7 @@ def churn_features(
             F.datediff(today, "registration_date").alias("days_since_registration"),
             F.coalesce("total_orders", zero).alias("total_orders"),
             F.coalesce("total_spent", no_money).alias("total_spent"),
-            F.coalesce(mean_of(F.col("total_spent"), F.col("total_orders")), F.lit(0.0)).alias(
+            F.coalesce(mean_of(F.col("total_spent"), F.col("amounts")), F.lit(0.0)).alias(
                 "avg_order_value"
             ),
             last.alias("last_order_date"),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from shoplytic.functions.dates import month_start, whole_months
 from shoplytic.functions.numeric import share_pct
 from shoplytic.schema import Tables, valid_orders
+from shoplytic.session import pinned
 
 
 def cohort_retention(t: Tables) -> DataFrame:
@@ -44,8 +45,15 @@ def cohort_retention(t: Tables) -> DataFrame:
     ).orderBy("cohort_month", "period_number")
 
 
-def cohort_matrix(retention: DataFrame, max_period: int) -> DataFrame:
-    """One row per cohort and a retention column per period 0..``max_period``."""
+def cohort_matrix(retention: DataFrame, max_period: int | None = None) -> DataFrame:
+    """One row per cohort and a retention column per period 0..``max_period``.
+
+    Without a number the matrix is as wide as the data: finding the last period is a
+    Spark job of its own, as columns must be known before the query runs.
+    """
+    if max_period is None:
+        retention = pinned(retention)  # a row per cohort and period, read twice
+        max_period = retention.agg(F.max("period_number")).first()[0] or 0
     periods = list(range(max_period + 1))
     wide = retention.groupBy("cohort_month").pivot("period_number", periods)
     cells = wide.agg(F.first("retention_rate"))
@@ -53,11 +61,3 @@ def cohort_matrix(retention: DataFrame, max_period: int) -> DataFrame:
         "cohort_month", *[F.col(str(p)).alias(f"period_{p}") for p in periods]
     ).orderBy("cohort_month")
 
-
-def last_period(t: Tables) -> int:
-    """Months between the first and the last valid order: the widest matrix."""
-    dates = valid_orders(t).agg(
-        F.min("order_date").alias("first"), F.max("order_date").alias("last")
-    )
-    span = whole_months(F.col("last"), F.col("first"))
-    return dates.select(F.coalesce(span, F.lit(0)).alias("months")).first()["months"]

@@ -22,10 +22,11 @@ def kpi_summary(t: Tables, zero_when_empty: bool = True) -> DataFrame:
     orders = valid_orders(t).agg(
         F.count("*").alias("total_orders"),
         F.sum("total_amount").alias("revenue"),
+        F.count("total_amount").alias("amounts"),
         F.countDistinct("customer_id").alias("active_customers"),
     )
     revenue = F.col("revenue")
-    average = mean_of(revenue, F.col("total_orders"))
+    average = mean_of(revenue, F.col("amounts"))
     if zero_when_empty:
         revenue = F.coalesce(revenue, F.lit(0).cast("decimal(28,2)"))
         average = F.coalesce(average, F.lit(0.0))

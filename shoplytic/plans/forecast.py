@@ -72,21 +72,25 @@ def forecast_pipeline(seed: int = SEED, trees: int = TREES) -> Pipeline:
 def train_forecast(
     features: DataFrame, series: Sequence[str] = (), seed: int = SEED, trees: int = TREES
 ) -> tuple[PipelineModel, DataFrame]:
-    """Fit on the first 80 % of days; metrics as one row.
+    """Fit on the first 80 % of days; metrics as one row per series.
 
     Percentage errors of both parts, and actual against predicted revenue of the
     newest day.
     """
     actual = F.col("daily_revenue").cast("double").alias("daily_revenue")
-    split = _numeric(chronological_split(features, series), "sales_date", "is_test", actual)
+    split = _numeric(chronological_split(features, series), *series, "sales_date", "is_test", actual)
     # Each tree reads the days again: keep them in memory, and on shared storage
     # so that a lost executor does not mean reading the orders once more.
-    split = pinned(split).persist()
-    model = forecast_pipeline(seed, trees).fit(split.filter(~F.col("is_test")))
+    split = pinned(split)
+    kept = split.persist()
+    try:
+        model = forecast_pipeline(seed, trees).fit(kept.filter(~F.col("is_test")))
+    finally:
+        kept.unpersist()
     y, predicted = F.col("daily_revenue"), F.col("prediction")
     error = F.abs(y - predicted) / F.greatest(F.abs(y), F.lit(_SMALLEST))
     newest = F.when(F.col("is_test"), F.col("sales_date"))
-    metrics = model.transform(split).agg(
+    metrics = model.transform(split).groupBy(*series).agg(
         F.avg(F.when(~F.col("is_test"), error)).alias("train_mape"),
         F.avg(F.when(F.col("is_test"), error)).alias("test_mape"),
         F.max_by(y, newest).alias("last_actual"),

@@ -33,31 +33,53 @@ def order_stream(
     )
 
 
-def daily_sales_stream(orders: DataFrame, late_by: str = "1 day") -> DataFrame:
-    """Orders, revenue, mean value and exact distinct customers per finished day.
+def day_customers(orders: DataFrame, late_by: str = "1 day") -> DataFrame:
+    """One state row per day and customer; for update mode.
 
-    Two windowed aggregates in a row: the first keeps one state row per day and
-    customer, which makes the distinct count of the second a plain count and
-    spreads a busy customer's orders over partial sums. For append mode; a day
-    comes out once the watermark has passed its end.
+    A row comes out whenever it changed, so the newest day is there at once and a
+    busy customer's orders are partial sums. Orders later than ``late_by`` behind
+    the newest are dropped; ``late_rows`` counts them.
     """
-    per_customer = (
+    return (
         orders.withWatermark("order_ts", late_by)
         .groupBy(F.window("order_ts", "1 day").alias("day"), "customer_id")
-        .agg(F.count("*").alias("orders"), F.sum("total_amount").alias("amount"))
+        .agg(
+            F.count("*").alias("orders"),
+            F.count("total_amount").alias("amounts"),
+            F.sum("total_amount").alias("amount"),
+        )
+        .select(
+            F.to_date("day.start").alias("sales_date"), "customer_id", "orders", "amounts", "amount"
+        )
     )
+
+
+def newest_rows(written: DataFrame, *key: str) -> DataFrame:
+    """Of the batches that an update-mode stream wrote, the last row of every key."""
+    values = [c for c in written.columns if c not in (*key, "batch_id")]
+    newest = F.max_by(F.struct(*values), "batch_id").alias("newest")
+    return written.groupBy(*key).agg(newest).select(*key, "newest.*")
+
+
+def daily_sales(days: DataFrame) -> DataFrame:
+    """Orders, revenue, mean value and exact distinct customers per day.
+
+    ``days`` has one row per day and customer, so distinct customers are a plain
+    count; customers that are null are not counted.
+    """
     return (
-        per_customer.groupBy(F.window("day", "1 day").alias("whole_day"))
+        days.groupBy("sales_date")
         .agg(
             F.sum("orders").alias("order_count"),
             F.sum("amount").alias("daily_revenue"),
-            F.count("*").alias("unique_customers"),
+            F.sum("amounts").alias("_amounts"),
+            F.count("customer_id").alias("unique_customers"),
         )
         .select(
-            F.to_date("whole_day.start").alias("sales_date"),
+            "sales_date",
             "order_count",
             "daily_revenue",
-            mean_of(F.col("daily_revenue"), F.col("order_count")).alias("avg_order_value"),
+            mean_of(F.col("daily_revenue"), F.col("_amounts")).alias("avg_order_value"),
             "unique_customers",
         )
     )
@@ -66,15 +88,20 @@ def daily_sales_stream(orders: DataFrame, late_by: str = "1 day") -> DataFrame:
 def running_totals(orders: DataFrame) -> DataFrame:
     """Order count, revenue and mean value so far; for complete mode.
 
-    Distinct customers are estimated: an exact count would keep every customer.
+    Distinct customers are estimated: an exact count would keep every customer. Where
+    it must be exact, count them in the rows of ``day_customers``.
     """
     totals = orders.groupBy().agg(
         F.count("*").alias("total_orders"),
         F.sum("total_amount").alias("total_revenue"),
+        F.count("total_amount").alias("_amounts"),
         F.approx_count_distinct("customer_id").alias("active_customers_estimate"),
     )
-    return totals.withColumn(
-        "avg_order_value", mean_of(F.col("total_revenue"), F.col("total_orders"))
+    return totals.select(
+        "total_orders",
+        "total_revenue",
+        mean_of(F.col("total_revenue"), F.col("_amounts")).alias("avg_order_value"),
+        "active_customers_estimate",
     )
 
 
@@ -93,17 +120,9 @@ def _write_batch(target: str):
     return write
 
 
-def _replace(target: str):
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(target)
-
-    return write
-
-
-def append_stream(stream: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    """Load everything available now; each batch is written exactly once."""
+def _load(stream: DataFrame, mode: str, target: str, checkpoint: str) -> StreamingQuery:
     return (
-        stream.writeStream.outputMode("append")
+        stream.writeStream.outputMode(mode)
         .option("checkpointLocation", checkpoint)
         .foreachBatch(_write_batch(target))
         .trigger(availableNow=True)
@@ -111,12 +130,34 @@ def append_stream(stream: DataFrame, target: str, checkpoint: str) -> StreamingQ
     )
 
 
-def replace_stream(stream: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    """Keep ``target`` equal to the newest complete result."""
-    return (
-        stream.writeStream.outputMode("complete")
-        .option("checkpointLocation", checkpoint)
-        .foreachBatch(_replace(target))
-        .trigger(availableNow=True)
-        .start()
+def append_stream(stream: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
+    """Load everything available now; each batch is written exactly once."""
+    return _load(stream, "append", target, checkpoint)
+
+
+def update_stream(stream: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
+    """Write the rows that each batch changed; ``newest_rows`` reads them back."""
+    return _load(stream, "update", target, checkpoint)
+
+
+def complete_stream(stream: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
+    """Write the whole result of each batch beside the earlier ones.
+
+    Nothing is overwritten that a reader may be at; ``latest`` picks the newest.
+    """
+    return _load(stream, "complete", target, checkpoint)
+
+
+def latest(written: DataFrame) -> DataFrame:
+    """The rows of the newest batch of a complete-mode stream."""
+    newest = written.agg(F.max("batch_id")).scalar()
+    return written.filter(F.col("batch_id") == newest).drop("batch_id")
+
+
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that state operators dropped as later than the watermark, so far."""
+    return sum(
+        operator.numRowsDroppedByWatermark
+        for progress in query.recentProgress
+        for operator in progress.stateOperators
     )

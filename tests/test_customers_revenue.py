@@ -177,3 +177,34 @@ def test_no_valid_orders(spark, small):
     assert rows(revenue.revenue_trend(t)) == []
     assert rows(cohorts.cohort_retention(t)) == []
     assert cohorts.last_period(t) == 0
+
+
+def test_no_period_of_the_matrix_is_lost(spark):
+    from shoplytic.operators import cohorts
+
+    retention = spark.createDataFrame(
+        [("2015-01-01", 0, 9, 100.0), ("2015-01-01", 108, 1, 11.1), ("2016-02-01", 0, 2, 100.0)],
+        "cohort_month string, period_number int, active_customers long, retention_rate double",
+    )
+    matrix = cohorts.cohort_matrix(retention)
+    assert matrix.columns == ["cohort_month", *[f"period_{p}" for p in range(109)]]
+    assert matrix.first()["period_108"] == 11.1
+    assert len(cohorts.cohort_matrix(retention.filter("false")).columns) == 2
+
+
+def test_averages_leave_out_null_amounts(spark):
+    from shoplytic.operators import churn, kpis
+
+    t = shop(
+        spark,
+        customers=[{"customer_id": 1, "customer_tier": "Gold", "registration_date": "2024-01-01"}],
+        orders=[
+            {"order_id": o, "customer_id": 1, "order_date": "2024-12-01",
+             "order_status": "delivered", "total_amount": amount}
+            for o, amount in [(1, None), (2, 10)]
+        ],
+    )
+    assert rows(kpis.kpi_summary(t))[0]["avg_order_value"] == 10.0
+    for grain in ("line", "order"):
+        got = rows(churn.churn_features(t, AS_OF, grain=grain))[0]
+        assert (got["avg_order_value"], got["total_orders"]) == (10.0, 2)

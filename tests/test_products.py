@@ -5,6 +5,8 @@ from decimal import Decimal
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from conftest import rows, shop
 from shoplytic.operators import affinity, products
 
@@ -71,7 +73,7 @@ def _basket_shop(spark, baskets):
 
 @pytest.mark.parametrize(("threshold", "ordinary"), [(2, 32), (3, 32), (2, 0), (5, 0)])
 def test_affinity_equals_brute_force(spark, monkeypatch, threshold, ordinary):
-    monkeypatch.setattr(affinity, "ORDINARY_SIZE", ordinary)
+    monkeypatch.setattr(affinity, "BLOCK_ROWS", 7)
     rng = random.Random(threshold)
     baskets = [rng.choices(range(12), k=rng.randint(1, 5)) for _ in range(60)]
     # Baskets that hold most of all lines, and a repeated product inside one basket.
@@ -86,7 +88,7 @@ def test_affinity_equals_brute_force(spark, monkeypatch, threshold, ordinary):
         counts.update(itertools.combinations(distinct, 2))
     expected = {pair: n for pair, n in counts.items() if n >= threshold}
 
-    got = rows(affinity.product_affinity(_basket_shop(spark, baskets), threshold))
+    got = rows(affinity.product_affinity(_basket_shop(spark, baskets), threshold, ordinary))
     assert {(r["product_a"], r["product_b"]): r["pair_orders"] for r in got} == expected
     n = len(baskets)
     for r in got:
@@ -100,3 +102,22 @@ def test_affinity_equals_brute_force(spark, monkeypatch, threshold, ordinary):
 def test_affinity_threshold(small):
     with pytest.raises(ValueError):
         affinity.product_affinity(small, 1)
+
+
+def test_no_candidate_below_the_threshold_is_pinned_without_tails(spark):
+    baskets = [[1, 2, 3], [1, 2], [2, 3], [4, 5]]
+    lines = spark.createDataFrame(
+        [(i, p, len(b)) for i, b in enumerate(baskets) for p in b],
+        "order_id long, product_id long, size long",
+    )
+    tails = lines.filter("false").select("order_id", "product_id")
+    got = affinity._candidates(lines, tails, 2).collect()
+    assert sorted(tuple(r) for r in got) == [(1, 2, 2), (2, 3, 2)]
+
+
+def test_pairs_of_a_huge_basket_come_from_many_tasks(spark):
+    lines = spark.range(1500).selectExpr("1L AS order_id", "id AS product_id", "1500L AS size")
+    pairs = affinity._block_pairs(lines).withColumn("task", F.spark_partition_id())
+    per_task = [r["count"] for r in pairs.groupBy("task").count().collect()]
+    assert sum(per_task) == 1500 * 1499 // 2
+    assert len(per_task) == 8 and max(per_task) < sum(per_task) / 3

@@ -1,5 +1,6 @@
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import AS_OF, day, rows
@@ -81,32 +82,56 @@ def _stream(spark, folder):
     )
 
 
+def _written(spark, stream, write, home):
+    write(stream, str(home / "out"), str(home / "state")).awaitTermination()
+    return spark.read.parquet(str(home / "out"))
+
+
 def test_daily_stream_equals_batch(spark, tmp_path):
     _files(spark, str(tmp_path / "in"), *BATCHES)
-    stream = sales_stream.daily_sales_stream(_stream(spark, tmp_path / "in"))
-    sales_stream.append_stream(
-        stream, str(tmp_path / "out"), str(tmp_path / "state")
-    ).awaitTermination()
-    got = {r["sales_date"]: r for r in rows(spark.read.parquet(str(tmp_path / "out")))}
+    stream = sales_stream.day_customers(_stream(spark, tmp_path / "in"), "10 days")
+    written = _written(spark, stream, sales_stream.update_stream, tmp_path)
+    days = sales_stream.newest_rows(written, "sales_date", "customer_id")
+    got = {r["sales_date"]: r for r in rows(sales_stream.daily_sales(days))}
     orders = spark.read.schema(STREAM).parquet(str(tmp_path / "in" / "*"))
     batch = orders.groupBy(F.to_date("order_ts").alias("d")).agg(
         F.count("*").alias("n"), F.sum("total_amount").alias("s"),
         F.countDistinct("customer_id").alias("c"))
     expected = {r["d"]: r for r in rows(batch)}
-    # 5 January is not over yet.
-    assert set(got) == {day("2024-01-01"), day("2024-01-02")}
+    # The newest day is there too.
+    assert set(got) == {day("2024-01-01"), day("2024-01-02"), day("2024-01-05")}
     for date, row in got.items():
         assert (row["order_count"], row["daily_revenue"], row["unique_customers"]) == (
             expected[date]["n"], expected[date]["s"], expected[date]["c"])
 
 
+def test_late_rows_are_counted(spark, tmp_path):
+    _files(spark, str(tmp_path / "in"), *BATCHES[::-1])
+    stream = sales_stream.day_customers(_stream(spark, tmp_path / "in"), "1 day")
+    query = sales_stream.update_stream(stream, str(tmp_path / "out"), str(tmp_path / "state"))
+    query.awaitTermination()
+    seen = spark.read.parquet(str(tmp_path / "out")).agg(F.sum("orders")).first()[0]
+    assert sales_stream.late_rows(query) > 0 and seen < 6
+
+
+def test_null_amounts_do_not_lower_the_average(spark, tmp_path):
+    batch = [(1, 1, None, "2024-01-01T08:00:00"), (2, 2, 10.0, "2024-01-01T09:00:00")]
+    _files(spark, str(tmp_path / "in"), batch)
+    days = sales_stream.day_customers(_stream(spark, tmp_path / "in"))
+    written = _written(spark, days, sales_stream.update_stream, tmp_path / "a")
+    newest = sales_stream.newest_rows(written, "sales_date", "customer_id")
+    assert rows(sales_stream.daily_sales(newest))[0]["avg_order_value"] == 10.0
+    totals = sales_stream.running_totals(_stream(spark, tmp_path / "in"))
+    written = _written(spark, totals, sales_stream.complete_stream, tmp_path / "b")
+    assert rows(sales_stream.latest(written))[0]["avg_order_value"] == 10.0
+
+
 def test_running_totals(spark, tmp_path):
     _files(spark, str(tmp_path / "in"), *BATCHES)
     stream = sales_stream.running_totals(_stream(spark, tmp_path / "in"))
-    sales_stream.replace_stream(
-        stream, str(tmp_path / "out"), str(tmp_path / "state")
-    ).awaitTermination()
-    got = rows(spark.read.parquet(str(tmp_path / "out")))
+    written = _written(spark, stream, sales_stream.complete_stream, tmp_path)
+    assert written.count() == 3
+    got = rows(sales_stream.latest(written))
     assert len(got) == 1
     assert (got[0]["total_orders"], float(got[0]["total_revenue"])) == (6, 30.0)
     assert got[0]["active_customers_estimate"] == 3
@@ -124,3 +149,24 @@ def test_repeats_are_loaded_once_and_replays_change_nothing(spark, tmp_path):
     assert load("state") == [1, 2, 3, 4, 5]
     assert load("state") == [1, 2, 3, 4, 5]  # nothing new
     assert load("fresh") == [1, 2, 3, 4, 5]  # same batches again, same folders
+
+
+def test_large_tables_need_a_split(spark):
+    with pytest.raises(ValueError, match="orders"):
+        tables.read_database(spark, "jdbc:none", {})
+
+
+def test_append_runs_its_plan_once(spark, small, tmp_path):
+    runs = spark.sparkContext.accumulator(0)
+
+    @F.udf("int")
+    def counted(value):
+        runs.add(1)
+        return value
+
+    tables.append(
+        small.categories.withColumn("category_id", counted("category_id")),
+        str(tmp_path / "once"),
+        ["category_id"],
+    )
+    assert runs.value == 2

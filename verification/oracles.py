@@ -6,7 +6,7 @@ are cast to DOUBLE at the end, as the queries do.
 
 from __future__ import annotations
 
-from verification.queries import MAX_PERIOD
+from verification.model_parts import part_oracles
 
 SHOP = """
 shop_items AS (
@@ -371,7 +371,9 @@ _RULES = " UNION ALL ".join(
               "(SELECT product_id FROM shop_products)"),
         _rule("products", "category_exists",
               "SELECT COUNT(*) FROM shop_products WHERE category_name IS NULL"),
-        _rule("customer_addresses", "customer_exists", "0"),
+        _rule("customer_addresses", "customer_exists",
+              "SELECT COUNT(*) FROM customer a LEFT JOIN shop_customers c "
+              "ON c.customer_id = a.c_custkey WHERE c.customer_id IS NULL"),
         _rule("customer_addresses", "one_primary_address",
               "SELECT COUNT(*) FROM (SELECT c_custkey FROM customer "
               "GROUP BY c_custkey HAVING COUNT(*) <> 1)"),
@@ -406,7 +408,7 @@ def oracle_sql() -> dict[str, str]:
                    (SELECT COUNT(*) FROM shop_products WHERE is_active) AS active_products,
                    (SELECT CAST(COALESCE(SUM(total_amount), 0) AS DOUBLE) FROM valid_orders)
                        AS total_revenue,
-                   (SELECT COALESCE(CAST(SUM(total_amount) AS DOUBLE) / COUNT(*), 0)
+                   (SELECT COALESCE(CAST(SUM(total_amount) AS DOUBLE) / COUNT(total_amount), 0)
                     FROM valid_orders) AS avg_order_value,
                    (SELECT COUNT(DISTINCT customer_id) FROM valid_orders) AS active_customers""",
         "customer_ranking": f"{spending} SELECT * FROM paying",
@@ -470,11 +472,19 @@ def oracle_sql() -> dict[str, str]:
                    CAST(SUM(total_amount) AS DOUBLE) AS revenue
             FROM shop_orders WHERE order_date >= DATE '1998-01-01' GROUP BY order_status""",
         "cohort_retention": f"{_with(SHOP, COHORTS)} SELECT * FROM retention",
-        "cohort_matrix": f"""{_with(SHOP, COHORTS)}
-            SELECT cohort_month, {", ".join(
-                f"MAX(CASE WHEN period_number = {p} THEN retention_rate END) AS period_{p}"
-                for p in range(MAX_PERIOD + 1))}
-            FROM retention GROUP BY cohort_month""",
+        # As wide as the data: a column for every period up to the last one.
+        "cohort_matrix": f"""{_with(SHOP, COHORTS)},
+            periods AS (
+                SELECT unnest(range(0, (SELECT MAX(period_number) FROM retention) + 1)) AS p
+            ),
+            cells AS (
+                SELECT c.cohort_month, 'period_' || periods.p AS period, r.retention_rate
+                FROM (SELECT DISTINCT cohort_month FROM retention) c CROSS JOIN periods
+                LEFT JOIN retention r
+                  ON r.cohort_month = c.cohort_month AND r.period_number = periods.p
+            )
+            SELECT * FROM (PIVOT cells ON period USING first(retention_rate)
+                           GROUP BY cohort_month)""",
         "product_performance": f"{performance} SELECT * FROM report",
         "products_filtered": f"""{performance}
             SELECT * FROM report WHERE category_name IN ('PROMO', 'SMALL')""",
@@ -713,24 +723,29 @@ def oracle_sql() -> dict[str, str]:
         "sales_features_by_payment": _sales_features(lagged=False, series="payment_method"),
         "appended_customers": f"""{base}
             SELECT customer_tier, customer_id FROM shop_customers
-            WHERE customer_tier IN ('BUILDING', 'MACHINERY')""",
+            WHERE customer_tier IS NOT NULL""",
         "sql_over_views": f"""{order_features}
             SELECT customer_tier, COUNT(*) AS customers,
                    CAST(SUM(CAST(total_spent AS DECIMAL(28,2))) AS DOUBLE) / COUNT(*) AS avg_clv,
                    CAST(SUM(days_since_last_order) AS DOUBLE) / COUNT(*) AS avg_recency,
                    CAST(SUM(orders_last_90_days) AS DOUBLE) / COUNT(*) AS recent_activity
             FROM churn GROUP BY customer_tier""",
-        # A day is out once the watermark, a day behind the newest order, passed its end.
         "stream_daily_sales": f"""{_with(SHOP, _daily())}
             SELECT sales_date, order_count, daily_revenue, avg_order_value, unique_customers
-            FROM daily
-            WHERE sales_date + 1 <= (SELECT MAX(order_date) FROM valid_orders) - 1""",
+            FROM daily""",
         "stream_running_totals": f"""{base}
             SELECT COUNT(*) AS total_orders, CAST(SUM(total_amount) AS DOUBLE) AS total_revenue,
-                   CAST(SUM(total_amount) AS DOUBLE) / COUNT(*) AS avg_order_value
+                   CAST(SUM(total_amount) AS DOUBLE) / COUNT(total_amount) AS avg_order_value,
+                   COUNT(DISTINCT customer_id) AS active_customers, TRUE AS estimate_is_near
             FROM valid_orders""",
         "stream_first_arrivals": f"""{base}
             SELECT order_id, customer_id, CAST(total_amount AS DOUBLE) AS total_amount,
                    order_date
             FROM valid_orders""",
+        **part_oracles(
+            line_features,
+            order_features,
+            _sales_features(lagged=False),
+            _sales_features(lagged=False, series="payment_method"),
+        ),
     }

@@ -33,16 +33,18 @@ from shoplytic.session import checkpoint_folder
 from shoplytic.sources import tables as sources
 from shoplytic.sources import tpch, views
 from verification import streams
+from verification.model_parts import part_queries
 
 AS_OF = tpch.AS_OF
 UPDATED_AT = dt.datetime(2001, 8, 1)
 YEAR_START, YEAR_END = dt.date(1996, 1, 1), dt.date(1996, 12, 1)
 TIERS = ("BUILDING", "MACHINERY")
+ALL_TIERS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
 CATEGORIES = ("PROMO", "SMALL")
 BRAND = "Brand#1"
+SERIES_TREES = 20
 TIER_RATES = {"BUILDING": "0.05", "MACHINERY": "0.10"}
 TIER_SHARES = {"BUILDING": 20, "MACHINERY": 30}
-MAX_PERIOD = 79
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -125,10 +127,10 @@ def repeat_buyers_by_id(t: Tables) -> DataFrame:
 
 
 def appended_customers(t: Tables) -> DataFrame:
-    """Two tiers appended one after the other to a new table, read back."""
+    """All tiers appended one after the other to a new table, read back."""
     target = f"{checkpoint_folder(t.customers.sparkSession)}/appended-{uuid.uuid4()}"
     columns = ["customer_tier", "customer_id"]
-    for tier in TIERS:
+    for tier in ALL_TIERS:
         part = filters.customers_filtered(t.customers, [tier])
         sources.append(part, target, columns)
     sources.append(t.customers.filter("false"), target, columns)
@@ -178,7 +180,7 @@ def sql_queries() -> dict[str, Query]:
         "revenue_linear_forecast": linear_forecast,
         "revenue_by_status": revenue_by_status,
         "cohort_retention": cohorts.cohort_retention,
-        "cohort_matrix": lambda t: cohorts.cohort_matrix(cohorts.cohort_retention(t), MAX_PERIOD),
+        "cohort_matrix": lambda t: cohorts.cohort_matrix(cohorts.cohort_retention(t)),
         "product_performance": products.product_performance,
         "product_quartiles": products.product_quartiles,
         "products_filtered": catalogue_filtered,
@@ -318,6 +320,28 @@ def sales_forecast(spark: SparkSession, folder: str) -> DataFrame:
     return forecast_model.sales_forecast(model, inputs)
 
 
+def _forecast_by_payment(spark: SparkSession, folder: str):
+    series = ["payment_method"]
+    daily = sales.daily_sales(tpch.load(spark, folder), series)
+    inputs = sales.sales_features(daily, series)
+    model, metrics = _trained(
+        "forecast-by-payment",
+        spark,
+        folder,
+        lambda: forecast_model.train_forecast(inputs, series, trees=SERIES_TREES),
+    )
+    return model, metrics, inputs
+
+
+def sales_forecast_by_payment(spark: SparkSession, folder: str) -> DataFrame:
+    model, _, inputs = _forecast_by_payment(spark, folder)
+    return forecast_model.sales_forecast(model, inputs, series=["payment_method"])
+
+
+def forecast_metrics_by_payment(spark: SparkSession, folder: str) -> DataFrame:
+    return _forecast_by_payment(spark, folder)[1]
+
+
 def forecast_metrics(spark: SparkSession, folder: str) -> DataFrame:
     return _forecast(spark, folder)[1]
 
@@ -335,8 +359,10 @@ def model_queries() -> dict[str, Query]:
         "risk_points": risk_points,
         "forecast_metrics": forecast_metrics,
         "sales_forecast": sales_forecast,
+        "forecast_metrics_by_payment": forecast_metrics_by_payment,
+        "sales_forecast_by_payment": sales_forecast_by_payment,
     }
 
 
 def all_queries() -> dict[str, Query]:
-    return {**sql_queries(), **model_queries()}
+    return {**sql_queries(), **part_queries(), **model_queries()}
