@@ -1,0 +1,60 @@
+from __future__ import annotations
+
+from collections import Counter
+
+import pytest
+
+import corpus_pipeline
+from shoplytic.llm import decontamination, near_duplicates
+from shoplytic.llm.common import DOCUMENT, read
+
+FOLDER = "/root/testdata/sf0.001"
+
+
+def test_stages_one_by_one(spark):
+    docs = read(spark, FOLDER, "documents")
+    seen = [Counter(r["doc_id"] for r in docs.select("doc_id").collect())]
+    for name, stage in corpus_pipeline.STAGES:
+        result = stage(spark, docs, FOLDER).cache()
+        seen.append(Counter(r["doc_id"] for r in result.select("doc_id").collect()))
+        if name == "near duplicates":
+            again = near_duplicates.near_duplicates(result)
+            assert again.filter("NOT kept").count() == 0
+        if name == "benchmark decontamination":
+            benchmark = read(spark, FOLDER, "benchmark")
+            assert decontamination.find_leaks(result, benchmark).count() == 0
+        if name != "sharding":
+            assert result.columns == list(DOCUMENT)
+        docs = result
+    assert all(set(b) <= set(a) for a, b in zip(seen, seen[1:], strict=False))
+    assert seen[-1] == seen[-2] and max(seen[-1].values()) <= 2 and len(seen[-1]) > 50
+    final = docs.collect()
+    sizes = Counter()
+    for r in final:
+        sizes[r["shard"]] += len(r["text"].encode()) + 16
+    # A text that both passes took whole is two equal rows, which stay together.
+    weights = Counter()
+    for r in final:
+        weights[(r["text"], r["doc_id"])] += len(r["text"].encode()) + 16
+    assert max(sizes.values()) <= sum(sizes.values()) / 40 + max(weights.values())
+
+
+def test_odd_and_empty_documents(spark, documents, odd_texts, tmp_path):
+    for rows in (odd_texts, []):
+        folder = f"{tmp_path}/{len(rows)}"
+        documents(rows).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(
+            f"{folder}/labels.parquet"
+        )
+        spark.createDataFrame([(1, "a b c d e f g h")], "item_id long, text string").write.parquet(
+            f"{folder}/benchmark.parquet"
+        )
+        got = corpus_pipeline.run(spark, folder).collect()
+        assert bool(got) == bool(rows)
+
+
+@pytest.mark.parametrize("column", ["shard", "slot"])
+def test_columns_of_the_result(spark, column):
+    assert column in corpus_pipeline.STAGES[-1][1](
+        spark, read(spark, FOLDER, "documents"), FOLDER
+    ).columns
