@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from shoplytic.functions.dates import day
 from shoplytic.functions.labels import full_name
 from shoplytic.functions.numeric import share_pct
+from shoplytic.operators.filters import checked_top_n
 from shoplytic.operators.ranking import global_ranks
 from shoplytic.schema import Tables, valid_orders
-from shoplytic.session import pinned
 
 
 def order_sums(orders: DataFrame) -> DataFrame:
@@ -66,7 +66,7 @@ def customer_ranking(t: Tables) -> DataFrame:
 
 
 def _with_share(paying: DataFrame) -> DataFrame:
-    paying = pinned(paying)  # the total must not sum all orders a second time
+    # AQE reuses the exchange of the sums per customer for the total: orders are read once.
     whole = paying.agg(F.sum("total_spent")).scalar()
     return paying.withColumn(
         "pct_of_total_revenue", share_pct(F.col("total_spent"), whole)
@@ -88,6 +88,11 @@ def top_customers(t: Tables, n: int = 20) -> DataFrame:
     )
 
 
+def chosen_top_customers(t: Tables, n: int) -> DataFrame:
+    """As ``top_customers``, for a number that a reader picked from the allowed ones."""
+    return top_customers(t, checked_top_n(n))
+
+
 def top_customer_concentration(t: Tables, n: int = 10) -> DataFrame:
     """One row with the summed share of the top ``n``; none with fewer customers."""
     return (

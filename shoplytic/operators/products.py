@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shoplytic.functions.numeric import mean_of, quotient_to_cents, share_pct
+from shoplytic.operators.filters import checked_top_n
 from shoplytic.operators.ranking import exact_median, global_ranks, ntile
 from shoplytic.schema import Tables, valid_orders
 from shoplytic.session import pinned
@@ -109,6 +110,11 @@ def top_products(t: Tables, n: int = 15) -> DataFrame:
     return top.select(*REPORT_COLUMNS, "pct_of_total_revenue")
 
 
+def chosen_top_products(t: Tables, n: int) -> DataFrame:
+    """As ``top_products``, for a number that a reader picked from the allowed ones."""
+    return top_products(t, checked_top_n(n))
+
+
 def product_quartiles(t: Tables) -> DataFrame:
     """Units, revenue, distinct buyers, mean margin, with rank and revenue quartile."""
     sums = sold_items(t, "customer_id").groupBy("product_id").agg(

@@ -512,6 +512,10 @@ def oracle_sql() -> dict[str, str]:
         "top_products": f"""{performance}
             SELECT {REPORT_COLUMNS}, pct_of_total_revenue FROM report
             ORDER BY total_revenue DESC, product_id LIMIT 15""",
+        "chosen_top_products": f"""{performance}
+            SELECT {REPORT_COLUMNS}, pct_of_total_revenue FROM report
+            ORDER BY total_revenue DESC, product_id LIMIT 25""",
+        "chosen_top_customers": f"{spending} {top_customers} LIMIT 25",
         "brand_share": f"""{performance}
             SELECT brand, COUNT(*) AS products,
                    CAST(SUM(CAST(pct_of_total_revenue AS DECIMAL(12,2))) AS DOUBLE) AS brand_pct

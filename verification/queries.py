@@ -218,6 +218,8 @@ def sql_queries() -> dict[str, Query]:
         "kpi_texts": kpis.kpi_texts,
         "customer_spending": customers.customer_spending,
         "top_customer": lambda t: customers.top_customers(t, 1),
+        "chosen_top_customers": lambda t: customers.chosen_top_customers(t, 25),
+        "chosen_top_products": lambda t: products.chosen_top_products(t, 25),
         "star_product": lambda t: products.top_products(t, 1),
         "repeat_buyers_by_id": repeat_buyers_by_id,
         "products_of_brand": lambda t: filters.one_of(
@@ -250,6 +252,11 @@ def _plain_stream(stream: Query) -> Query:
 _models: dict[tuple, tuple[PipelineModel, DataFrame]] = {}
 
 
+def forget_models() -> None:
+    """Train anew from here on, as after a change of the data."""
+    _models.clear()
+
+
 def _trained(kind: str, spark: SparkSession, folder: str, train) -> tuple:
     key = (kind, spark.sparkContext.applicationId, folder)
     if key not in _models:
