@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-MIXED = ""
+# CRC-32 of a text: its bytes, each followed by eight marks (-1) for one shift.
+_CRC32 = """xor(list_reduce(list_prepend(4294967295, flatten(list_transform(
+        range(1, 2 * strlen(body) + 1, 2),
+        lambda i: [CAST('0x' || substr(letters, i, 2) AS BIGINT),
+                   -1, -1, -1, -1, -1, -1, -1, -1]))),
+        lambda c, x: CASE WHEN x >= 0 THEN xor(c, x)
+                          ELSE xor(c >> 1, 3988292384 * (c & 1)) END), 4294967295)"""
 
-HISTOGRAM_SORT = """
+HISTOGRAM_SORT = f"""
 WITH d AS (
     SELECT doc_id, coalesce(text, '') AS body,
-           CAST(strlen(coalesce(text, '')) + 16 AS BIGINT) AS size
+           CAST(strlen(coalesce(text, '')) + 16 AS BIGINT) AS size,
+           hex(encode(coalesce(text, ''))) AS letters
     FROM documents
 ), k AS (
     SELECT *, CAST('0x' || substr(md5(body), 1, 15) AS BIGINT) AS a,
@@ -21,11 +28,11 @@ WITH d AS (
            sum(bytes) OVER () AS total
     FROM g
 ), s AS (
-    SELECT k.doc_id, k.size, k.body, k.a, k.b,
+    SELECT k.doc_id, k.size, k.body, k.letters, k.a, k.b,
            CAST(least(39, (c.before * 40) // c.total) AS INTEGER) AS shard
     FROM k JOIN c USING (a, b)
 )
-SELECT doc_id, size, {crc} AS text_crc32, 'bytes' AS law, shard,
+SELECT doc_id, size, {_CRC32} AS text_crc32, 'bytes' AS law, shard,
        row_number() OVER (PARTITION BY shard ORDER BY a, b) - 1 AS slot,
        CAST(NULL AS INTEGER) AS grown_shard
 FROM s
@@ -46,7 +53,7 @@ FROM d
 LINE_SPREAD = """
 WITH l AS (
     SELECT doc_id, source, text, list_filter(string_split(text, chr(10)),
-               x -> regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines
+               lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines
     FROM documents
 ), spread AS (
     SELECT line, count(DISTINCT coalesce(source, chr(0) || 'none')) AS sites
@@ -55,7 +62,7 @@ WITH l AS (
     SELECT coalesce(list(line), []) AS lines FROM spread WHERE sites >= 10
 ), cut AS (
     SELECT doc_id, string_split(text, chr(10)) AS all_lines,
-           list_filter(string_split(text, chr(10)), x -> NOT list_contains(b.lines, x)) AS kept
+           list_filter(string_split(text, chr(10)), lambda x: NOT list_contains(b.lines, x)) AS kept
     FROM documents, boiler b
 )
 SELECT doc_id, CAST(coalesce(len(all_lines), 0) AS BIGINT) AS n_lines,
@@ -65,8 +72,67 @@ FROM cut
 """
 
 
+_WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
+
+NEAR_DUPLICATES = f"""
+WITH RECURSIVE w AS (
+    SELECT doc_id, list_transform({_WORDS}, lambda x: translate(
+               x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS ws
+    FROM documents
+), s AS (
+    SELECT doc_id, list_distinct(list_transform(
+               range(1, CASE WHEN len(ws) = 0 THEN 1 ELSE greatest(len(ws) - 4, 1) + 1 END),
+               lambda i: array_to_string(ws[i:i + 4], ' '))) AS shingles
+    FROM w
+), e AS (
+    SELECT doc_id, len(shingles) AS n, unnest(shingles) AS shingle FROM s
+), pairs AS (
+    SELECT a.doc_id AS x, b.doc_id AS y
+    FROM e a JOIN e b ON a.shingle = b.shingle AND a.doc_id < b.doc_id
+    GROUP BY a.doc_id, b.doc_id, a.n, b.n
+    HAVING 100 * COUNT(*) >= 75 * (a.n + b.n - COUNT(*))
+), links AS (
+    SELECT x, y FROM pairs UNION SELECT y, x FROM pairs
+), reach AS (
+    SELECT doc_id, doc_id AS other FROM documents
+    UNION
+    SELECT r.doc_id, l.y FROM reach r JOIN links l ON l.x = r.other
+), least AS (
+    SELECT doc_id, MIN(other) AS component_id FROM reach GROUP BY doc_id
+)
+SELECT s.doc_id, CAST(len(shingles) AS BIGINT) AS n_shingles, component_id,
+       s.doc_id = component_id AS kept
+FROM s JOIN least ON least.doc_id = s.doc_id
+"""
+
+REPEATED_PASSAGES = f"""
+WITH w AS (
+    SELECT doc_id, {_WORDS} AS ws FROM documents
+), p AS (
+    SELECT doc_id, i, array_to_string(ws[i:i + 49], ' ') AS passage
+    FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w)
+), f AS (
+    SELECT passage, MIN(doc_id) AS first_id FROM p GROUP BY passage
+), r AS (
+    SELECT p.doc_id, list_distinct(flatten(list(range(i, i + 50)))) AS gone
+    FROM p JOIN f ON f.passage = p.passage WHERE first_id < p.doc_id GROUP BY p.doc_id
+), k AS (
+    SELECT w.doc_id, ws, coalesce(len(gone), 0) AS n_removed,
+           CASE WHEN gone IS NULL THEN ws
+                ELSE list_filter(ws, lambda x, i: NOT list_contains(gone, i)) END AS kept
+    FROM w LEFT JOIN r ON r.doc_id = w.doc_id
+)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(n_removed AS BIGINT) AS n_removed,
+       sha256(array_to_string(kept, ' ')) AS kept_sha256
+FROM k
+"""
+
+
 def llm_oracle_sql() -> dict[str, str]:
     return {
+        "op4_histogram_sort": HISTOGRAM_SORT,
         "op5_digest_index": EXACT_DEDUP,
         "op6_line_spread": LINE_SPREAD,
+        "op7_circulant_minhash": NEAR_DUPLICATES,
+        "op8_cover_anchors": REPEATED_PASSAGES,
     }
