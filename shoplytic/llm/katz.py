@@ -21,7 +21,6 @@ probability one.
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -30,10 +29,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoplytic.llm.common import mixed, split_words, stored, word_hashes
+from shoplytic.llm.common import mixed, release_shuffles, split_words, stored, word_hashes
 
 ORDER = 2
 BLOCK_TOKENS = 1 << 20
@@ -412,12 +411,6 @@ def _answers(counts: list[DataFrame], weights: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.union, [whole(*table) for table in tables])
 
 
-def _release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished jobs, which no frame refers to now."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def score_documents(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` per row.
 
@@ -432,12 +425,12 @@ def score_documents(docs: DataFrame, order: int = ORDER) -> DataFrame:
     counts, weights, stats = [], [], []
     for level in range(1, order + 1):
         counts.append(stored(gram_counts(blocks, level, ranges), f"counts-{level}", "zstd"))
-        _release(spark)
+        release_shuffles(spark)
         stats.append(statistics(counts[-1], blocks, level))
         if level > 1:
             sums = backoff_weights(blocks, _answers(counts, weights), stats, level, ranges)
             weights.append(stored(sums, f"weights-{level}", "zstd"))
-            _release(spark)
+            release_shuffles(spark)
 
     def evaluate(left: pa.Table, right: pa.Table) -> pa.Table:
         parts = [
