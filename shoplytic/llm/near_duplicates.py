@@ -7,12 +7,17 @@ lie side by side in the table, and a signature is the elementwise minimum over t
 document's shingles. Bands of coordinates propose pairs; every link is decided by the
 exact Jaccard similarity of the two whole sets.
 
-Documents with the same words are one class, so copies of a text count once. Within a
-bucket not all pairs are formed. First each class meets the bucket's least class only,
-and what is confirmed is joined into components. Pairs of a bucket that are still in
-different components are then all tested, except those whose set sizes rule a link out,
-so no link that a bucket holds is lost. The chance that a pair at 0.75 shares no bucket
-is (1 - 0.75^4)^32, five in a million.
+Documents with the same words are one class, so copies of a text count once. Pairs are
+never rows before they are decided. First each class meets the bucket's least class only,
+and what is confirmed is joined into components: that settles most buckets. In a bucket
+that still holds several components, the members' signatures are compared inside tasks,
+block by block of a bounded number of members. Pairs of two components that agree in
+enough coordinates are then compared on their full sets, again inside tasks, and of the
+links found those that join something new come out. So no link that a bucket holds is
+lost, and a group of near copies costs rows in proportion to its size.
+
+The chance that a pair at 0.75 shares no bucket is (1 - 0.75^4)^32, five in a million;
+that it agrees in fewer coordinates than asked for is one in a million.
 """
 
 from __future__ import annotations
@@ -20,6 +25,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
 import pyarrow.compute as pc
@@ -42,6 +48,8 @@ PERCENT = 75
 BANDS, BAND_ROWS = 32, 4
 UNIVERSE_BITS = 20
 SEED = 7
+# Members of a bucket that are compared in one task, at most about twice as many.
+BLOCK_MEMBERS = 1024
 
 
 class Circulant:
@@ -73,6 +81,12 @@ def band_keys(signature: np.ndarray, bands: int) -> np.ndarray:
     return key.view(np.int64)
 
 
+def least_equal(coordinates: int, percent: int) -> int:
+    """Five standard deviations below the coordinates that a pair at the limit agrees in."""
+    share = percent / 100
+    return int(coordinates * share - 5 * (coordinates * share * (1 - share)) ** 0.5)
+
+
 def shingle_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
     """Distinct hashes of the shingles; a shorter text is one shingle of all its words."""
     if not len(hashes):
@@ -100,9 +114,10 @@ def sketches(
     shingle_words: int = SHINGLE_WORDS,
     seed: int = SEED,
 ) -> DataFrame:
-    """``doc_id, words_key, n_shingles, keys`` (one per band): one pass, no shuffle.
+    """``doc_id, words_key, n_shingles, keys, signature``: one pass, no shuffle.
 
-    A text without words has a null ``words_key`` and no band keys.
+    ``keys`` has one entry per band, ``signature`` the low 16 bits of each coordinate. A
+    text without words has a null ``words_key``, no keys and an empty signature.
     """
     kind = dict(docs.dtypes)["doc_id"]
 
@@ -112,24 +127,27 @@ def sketches(
             texts = batch.column(1)
             starts, flat = split_words(pc.ascii_lower(texts))
             hashes = word_hashes(flat)
-            sizes, keys = [], []
+            sizes, keys, low_bits = [], [], []
             for begin, end in zip(starts[:-1], starts[1:], strict=True):
                 shingles = shingle_hashes(hashes[begin:end], shingle_words)
                 sizes.append(len(shingles))
-                keys.append(
-                    band_keys(circulant.signature(shingles), bands) if len(shingles) else []
-                )
+                found = circulant.signature(shingles) if len(shingles) else None
+                keys.append([] if found is None else band_keys(found, bands))
+                low_bits.append(b"" if found is None else found.astype(np.uint16).tobytes())
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
                     pa.array(_keys_of(texts), pa.binary()),
                     pa.array(sizes, pa.int64()),
                     pa.array(keys, pa.list_(pa.int64())),
+                    pa.array(low_bits, pa.binary()),
                 ],
-                names=["doc_id", "words_key", "n_shingles", "keys"],
+                names=["doc_id", "words_key", "n_shingles", "keys", "signature"],
             )
 
-    schema = f"doc_id {kind}, words_key binary, n_shingles long, keys array<long>"
+    schema = (
+        f"doc_id {kind}, words_key binary, n_shingles long, keys array<long>, signature binary"
+    )
     return docs.select("doc_id", "text").mapInArrow(sketched, schema)
 
 
@@ -179,14 +197,15 @@ def confirmed(
 
 
 def bucket_members(classes: DataFrame) -> DataFrame:
-    """``key, least, node`` for the buckets that hold two classes or more.
+    """``key, band, least, node`` for the buckets that hold two classes or more.
 
     A node is a struct (words_key, n_shingles); ``least`` is the bucket's least one.
     Buckets are summed up before they are joined: one with a third of all classes is a
     few partial rows in the first step, and AQE splits it in the second.
     """
     rows = classes.select(
-        F.explode("keys").alias("key"), F.struct("words_key", "n_shingles").alias("node")
+        F.posexplode("keys").alias("band", "key"),
+        F.struct("words_key", "n_shingles").alias("node"),
     )
     buckets = rows.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most"))
     shared = buckets.filter(F.col("least") != F.col("most")).select("key", "least")
@@ -215,28 +234,107 @@ def near_duplicate_links(
     first = pinned(confirmed(stars, classes, docs, percent))
 
     parts = connected_components(first).withColumnRenamed("id", "words_key")
-    placed = members.select("key", "node", F.col("node.words_key").alias("words_key"))
+    placed = members.select("key", "band", F.col("node.words_key").alias("words_key"))
     placed = pinned(
         placed.join(parts, "words_key", "left").select(
-            "key", "node", F.coalesce("component", "words_key").alias("part")
+            "key", "band", "words_key", F.coalesce("component", "words_key").alias("part")
         )
     )
-    spread = placed.groupBy("key").agg(F.min("part").alias("least"), F.max("part").alias("most"))
-    open_keys = spread.filter(F.col("least") != F.col("most")).select("key")
-    rows = pinned(placed.join(open_keys, "key"))
-    across = (
-        rows.toDF("key", "low", "part_low")
-        .join(rows.toDF("key", "high", "part_high"), "key")
-        .filter(
-            (F.col("low.words_key") < F.col("high.words_key"))
-            & (F.col("part_low") != F.col("part_high"))
-            & _can_link("low", "high", percent)
+    spread = placed.groupBy("key").agg(
+        F.min("part").alias("least"), F.max("part").alias("most"), F.count("*").alias("members")
+    )
+    unsettled = spread.filter(F.col("least") != F.col("most")).select("key", "members")
+    rows = placed.join(unsettled, "key").join(
+        classes.select("words_key", "n_shingles", "signature"), "words_key"
+    )
+    return first.union(links_across(rows, classes, docs, percent))
+
+
+def _block_groups(rows: DataFrame) -> DataFrame:
+    """Rows of a bucket dealt to every two of its blocks: ``key, low, high``."""
+    blocks = F.ceil(F.col("members") / BLOCK_MEMBERS)
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("words_key"), blocks))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))
+    return rows.withColumn("other", other).select(
+        "key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
+        "block", "band", "words_key", "part", "n_shingles", "signature",
+    )
+
+
+def links_across(rows: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Confirmed links between different parts of a bucket, as many as join something new.
+
+    ``rows`` has ``key, members, band, words_key, part, n_shingles, signature``.
+    """
+    group = ["key", "low", "high"]
+
+    def similar(table: pa.Table) -> pa.Table:
+        count = len(table)
+        signs = np.frombuffer(
+            b"".join(table.column("signature").to_pylist()), dtype=np.uint16
+        ).reshape(count, -1)
+        sizes = table.column("n_shingles").to_numpy()
+        block = table.column("block").to_numpy()
+        part = table.column("part").combine_chunks().dictionary_encode().indices.to_numpy()
+        band = table.column("band")[0].as_py()
+        two_blocks = table.column("low")[0] != table.column("high")[0]
+        partners: list[np.ndarray] = []
+        used = np.zeros(count, dtype=bool)
+        for at in range(count):
+            rest = np.arange(at + 1, count)
+            small, large = np.minimum(sizes[rest], sizes[at]), np.maximum(sizes[rest], sizes[at])
+            rest = rest[(part[rest] != part[at]) & (100 * small >= percent * large)]
+            if two_blocks:
+                rest = rest[block[rest] != block[at]]
+            equal = signs[rest] == signs[at]
+            # A pair that shares an earlier band is looked at there.
+            first = equal.reshape(len(rest), signs.shape[1] // BAND_ROWS, BAND_ROWS).all(axis=2).argmax(axis=1)
+            rest = rest[(equal.sum(axis=1) >= least_equal(signs.shape[1], percent)) & (first == band)]
+            partners.append(rest)
+            used[rest] = True
+            used[at] |= len(rest) > 0
+        keys = table.column("words_key").combine_chunks()
+        at = np.flatnonzero(used)
+        ends = np.cumsum([0, *(len(partners[i]) for i in at)])
+        flat = np.concatenate([*(partners[i] for i in at), np.empty(0, np.int64)]).astype(np.int64)
+        found = table.select([*group, "words_key"]).take(pa.array(at))
+        return found.append_column(
+            "partners",
+            pa.ListArray.from_arrays(pa.array(ends, pa.int32()), keys.take(pa.array(flat))),
         )
-        .select(F.col("low.words_key").alias("a"), F.col("high.words_key").alias("b"))
-        .distinct()
+
+    kept = "key long, low long, high long, words_key binary"
+    near = pinned(
+        _block_groups(rows).groupBy(*group).applyInArrow(similar, f"{kept}, partners array<binary>")
     )
-    across = pinned(across.join(stars, ["a", "b"], "left_anti"))
-    return first.union(confirmed(across, classes, docs, percent))
+    ids = near.select("words_key").distinct()
+    wanted = pinned(classes.select("words_key", "class_id").join(ids, "words_key", "left_semi"))
+    sets = shingle_sets(docs, wanted)
+
+    def linked(table: pa.Table) -> pa.Table:
+        keys = table.column("words_key").to_pylist()
+        own = {k: v.values.to_numpy() for k, v in zip(keys, table.column("set"), strict=True)}
+        root = {k: k for k in keys}
+
+        def top(k: bytes) -> bytes:
+            while root[k] != k:
+                root[k] = root[root[k]]
+                k = root[k]
+            return k
+
+        links = []
+        for a, partners in zip(keys, table.column("partners").to_pylist(), strict=True):
+            for b in partners:
+                if top(a) == top(b):
+                    continue
+                common = len(np.intersect1d(own[a], own[b], assume_unique=True))
+                if 100 * common >= percent * (len(own[a]) + len(own[b]) - common):
+                    root[top(a)] = top(b)
+                    links.append((a, b))
+        columns = list(zip(*links, strict=True)) or [(), ()]
+        return pa.table({n: pa.array(c, pa.binary()) for n, c in zip("ab", columns, strict=True)})
+
+    return near.join(sets, "words_key").groupBy(*group).applyInArrow(linked, "a binary, b binary")
 
 
 def keyed_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -248,9 +346,10 @@ def keyed_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
             F.min("doc_id").alias("class_id"),
             F.first("n_shingles").alias("n_shingles"),
             F.first("keys").alias("keys"),
+            F.first("signature").alias("signature"),
         )
     )
-    links = near_duplicate_links(classes, docs, percent)
+    links = pinned(near_duplicate_links(classes, docs, percent))
     parts = pinned(connected_components(links).withColumnRenamed("id", "words_key"))
     named = parts.join(classes.select("words_key", "class_id"), "words_key")
     least = named.groupBy("component").agg(F.min("class_id").alias("least_id"))
@@ -284,8 +383,6 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def without_near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``docs`` with one row of each group of near duplicates, the one of least doc_id."""
-    import pandas as pd
-
     @F.pandas_udf("binary")
     def words_key(texts: pd.Series) -> pd.Series:
         return texts.map(lambda text: _words_key((text or "").encode().lower().split()))

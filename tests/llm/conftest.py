@@ -2,9 +2,18 @@ from __future__ import annotations
 
 import pytest
 
+from shoplytic.llm import components, katz, near_duplicates
+
 DOCUMENT = "doc_id long, text string, lang string, source string, n_chars long"
 
 
+@pytest.fixture(autouse=True)
+def no_waiting(monkeypatch):
+    """Small tests need not wait until shuffle files are gone."""
+    for module in (components, katz, near_duplicates):
+        monkeypatch.setattr(module, "release_shuffles", lambda spark: None)
+
+
 @pytest.fixture
 def documents(spark):
     """Documents from (doc_id, text) or (doc_id, text, source) tuples; the rest is null."""
