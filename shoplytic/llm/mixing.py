@@ -264,7 +264,9 @@ def mix(
     many and short, so a source with a third of all words still spreads over all tasks.
     """
     parts = pieces(placed, block_words)
-    return slots(placed, shards, seed).join(parts, ["source_key", "block"])
+    # Both sides grow with the words: a slot list looks small to the planner before it is
+    # spread out, and must not be broadcast for that.
+    return slots(placed, shards, seed).hint("merge").join(parts, ["source_key", "block"])
 
 
 def words_taken(placed: DataFrame, mixture: DataFrame) -> DataFrame:
