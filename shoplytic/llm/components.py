@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shoplytic.llm.common import release_shuffles
 from shoplytic.session import pinned
 
 
@@ -59,6 +60,7 @@ def connected_components(links: DataFrame) -> DataFrame:
     while True:
         stars = pinned(_small_star(_large_star(stars)))
         after = _state(stars)
+        release_shuffles(links.sparkSession)
         if after == before:
             break
         before = after

@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from shoplytic.llm.common import (
     broadcast_if_small,
     mixed,
+    release_shuffles,
     split_words,
     window_hashes,
     word_hashes,
@@ -232,6 +233,7 @@ def near_duplicate_links(
         .distinct()
     )
     first = pinned(confirmed(stars, classes, docs, percent))
+    release_shuffles(docs.sparkSession)
 
     parts = connected_components(first).withColumnRenamed("id", "words_key")
     placed = members.select("key", "band", F.col("node.words_key").alias("words_key"))
@@ -309,6 +311,7 @@ def links_across(rows: DataFrame, classes: DataFrame, docs: DataFrame, percent:
     )
     ids = near.select("words_key").distinct()
     wanted = pinned(classes.select("words_key", "class_id").join(ids, "words_key", "left_semi"))
+    release_shuffles(docs.sparkSession)
     sets = shingle_sets(docs, wanted)
 
     def linked(table: pa.Table) -> pa.Table:
@@ -349,7 +352,9 @@ def keyed_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
             F.first("signature").alias("signature"),
         )
     )
+    release_shuffles(docs.sparkSession)
     links = pinned(near_duplicate_links(classes, docs, percent))
+    release_shuffles(docs.sparkSession)
     parts = pinned(connected_components(links).withColumnRenamed("id", "words_key"))
     named = parts.join(classes.select("words_key", "class_id"), "words_key")
     least = named.groupBy("component").agg(F.min("class_id").alias("least_id"))
