@@ -383,6 +383,9 @@ def backoff_weights(
         "mass array<double>, lower array<double>"
     )
     sent = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(send, sums)
+    # Stored, so that the blocks' shuffle is gone before the sums are shuffled.
+    sent = stored(sent, f"sums-{level}", "zstd")
+    release_shuffles(blocks.sparkSession)
     return sent.groupBy("range").applyInArrow(
         add_up, "block long, range int, weights array<double>"
     )
