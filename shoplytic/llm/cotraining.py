@@ -2,13 +2,15 @@
 
 The text view sees which words a document has; the page view sees its language, source,
 length and layout figures. Both start from the same labelled documents. In every round
-each view scores a pool of unlabelled documents and hands its most confident guesses, of
+each view scores every unlabelled document and hands its most confident guesses, of
 either class, to the other view as training rows. At the end each view's margin is
 calibrated on labelled documents kept out of training, and the calibrated log-odds are
 added: a view without information is calibrated to the base rate and adds nothing.
 
-Only the fit is bounded: at most ``labelled`` labelled and ``pool`` unlabelled documents,
-chosen by a hash of their id. All documents are scored whole, in one pass.
+Only the labelled documents of a fit are bounded: at most ``labelled``, chosen by a hash
+of their id. The features of all documents are stored once; every round takes its
+confidence thresholds over all unlabelled ones, and the fits run over all guesses beyond
+them. However many there are, they weigh half as much as the labels at most.
 
 Good means quality 1 and not toxic. A null text is empty; null language or source is a
 value of its own. Without labels of both classes there is nothing to learn: every
@@ -22,17 +24,17 @@ from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import CountVectorizer, FeatureHasher, StandardScaler, VectorAssembler
+from pyspark.ml.feature import FeatureHasher, HashingTF, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shoplytic.llm.common import stored, text_or_empty
 
-LABELLED, POOL = 10_000, 10_000
+LABELLED = 10_000
 ROUNDS, GIVEN = 3, 0.1
-# A word must be in this share of the training rows to be a feature of the text view.
-VOCABULARY, LEAST_SHARE = 1 << 16, 0.002
+# Every word is a feature of the text view, by its hash.
+WORD_FEATURES = 1 << 18
 HELD_OUT = 5
 VIEWS = ("text", "page")
 LAYOUT = (
@@ -91,22 +93,21 @@ def with_raw_views(docs: DataFrame, *carried: str) -> DataFrame:
     )
 
 
-def _feature_models(raw: DataFrame) -> dict[str, PipelineModel]:
-    """Feature maps fitted on the bounded training rows."""
-    vocabulary = CountVectorizer(
-        inputCol="tokens", outputCol="text", binary=True,
-        vocabSize=VOCABULARY, minDF=LEAST_SHARE,
-    )
+def _word_features() -> HashingTF:
+    return HashingTF(
+        inputCol="tokens", outputCol="text", binary=True, numFeatures=WORD_FEATURES
+    )
+
+
+def _page_features(raw: DataFrame) -> PipelineModel:
+    """The page view's feature map, its scale taken over all documents."""
     page = [
         FeatureHasher(inputCols=["lang", "source"], outputCol="names", numFeatures=1 << 10),
         VectorAssembler(inputCols=list(LAYOUT), outputCol="figures"),
         StandardScaler(inputCol="figures", outputCol="scaled", withMean=True),
         VectorAssembler(inputCols=["names", "scaled"], outputCol="page"),
     ]
-    return {
-        "text": Pipeline(stages=[vocabulary]).fit(raw),
-        "page": Pipeline(stages=page).fit(raw),
-    }
+    return Pipeline(stages=page).fit(raw)
 
 
 def _fit(rows: DataFrame, view: str) -> LogisticRegressionModel:
@@ -134,85 +135,100 @@ def _chosen(frame: DataFrame, rows: int) -> DataFrame:
     return frame.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, labelled: int, pool: int) -> DataFrame:
-    """``doc_id, good`` (null in the pool) with raw views, at most labelled + pool rows.
-
-    The ids are chosen first; what is broadcast is bounded by the two parameters.
-    """
-    marks = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(
+def label_marks(labels: DataFrame) -> DataFrame:
+    """``doc_id, good`` once per labelled document."""
+    return labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(
         F.min(
             F.when((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0), 1.0).otherwise(0)
         ).alias("good")
     )
-    known = _chosen(marks, labelled)
-    unknown = _chosen(
-        docs.select("doc_id")
-        .filter("doc_id IS NOT NULL")
-        .distinct()
-        .join(marks.select("doc_id"), "doc_id", "left_anti"),
-        pool,
-    )
-    wanted = known.union(unknown.select("doc_id", F.lit(None).cast("double").alias("good")))
-    columns = docs.select("doc_id", "text", "lang", "source", "n_chars")
-    return with_raw_views(columns.join(F.broadcast(wanted), "doc_id"), "good")
 
 
 def fit_views(
     docs: DataFrame,
     labels: DataFrame,
     labelled: int = LABELLED,
-    pool: int = POOL,
+    pool: int | None = None,
     rounds: int = ROUNDS,
     given: float = GIVEN,
 ) -> CoTrained | float:
-    """The co-trained views, or the share of good labels if they are of one class."""
-    raw = stored(training_rows(docs, labels, labelled, pool), "views")
+    """The co-trained views, or the share of good labels if they are of one class.
+
+    ``pool`` bounds the guesses that a fit takes, by a hash of their id; without it all are
+    taken. Scores and thresholds are always those of all unlabelled documents.
+    """
+    marks = stored(label_marks(labels), "marks")
+    known = _chosen(marks, labelled)
     part = F.pmod(F.xxhash64(F.lit(2), F.col("doc_id")), F.lit(HELD_OUT))
-    train = (F.col("good").isNotNull()) & (part != 0)
-    shares = raw.filter(train).agg(F.avg("good"), F.count("*")).first()
+    # Only labels of documents that are there count.
+    there = stored(docs.select("doc_id").join(F.broadcast(known), "doc_id"), "known")
+    train = part != 0
+    shares = there.filter(train).agg(F.avg("good"), F.count("*")).first()
     if not shares[1] or shares[0] in (0.0, 1.0):
-        overall = raw.agg(F.avg("good")).first()[0]
+        overall = there.agg(F.avg("good")).first()[0]
         return 1.0 if overall is None else float(overall)
 
-    features = _feature_models(raw)
-    rows = raw
-    for view in VIEWS:
-        rows = features[view].transform(rows)
-    rows = rows.select("doc_id", "good", *VIEWS)
-    rows = rows.repartition(docs.sparkSession.sparkContext.defaultParallelism, "doc_id")
-    rows = stored(rows, "features").cache()
-    seen = rows.filter(train).select(*VIEWS, "good", F.lit(1.0).alias("weight"))
-    unlabelled = rows.filter(F.col("good").isNull())
-    extra: dict[str, DataFrame | None] = dict.fromkeys(VIEWS)
+    words = _word_features()
+    raw = stored(words.transform(with_raw_views(docs)).drop("tokens"), "views", "zstd")
+    features = {"text": words, "page": _page_features(raw)}
+    rows = features["page"].transform(raw).select("doc_id", *VIEWS)
+    seen = rows.join(F.broadcast(known), "doc_id")
+    seen = seen.repartition(docs.sparkSession.sparkContext.defaultParallelism, "doc_id")
+    seen = stored(seen, "labelled").cache()
+    taught = seen.filter(train).select(*VIEWS, "good", F.lit(1.0).alias("weight"))
+    guesses: dict[str, DataFrame | None] = dict.fromkeys(VIEWS)
     models = {}
     for turn in range(rounds):
         for view in VIEWS:
-            more = extra[view]
-            models[view] = _fit(seen if more is None else seen.union(more), view)
+            more = guesses[view]
+            models[view] = _fit(taught if more is None else taught.union(more), view)
         if turn == rounds - 1:
             break
-        share = given * (turn + 1)
+        sure = confident(rows, marks, models, given * (turn + 1), shares[0])
+        sure = stored(sure, f"guesses-{turn}", "zstd")
         for view, other in (VIEWS, VIEWS[::-1]):
-            scored = _margin(models[view], unlabelled, "margin")
-            extra[other] = _confident(scored, share, shares[0])
-    held = rows.filter(F.col("good").isNotNull() & (part == 0))
+            guesses[other] = _guesses(sure, view, shares[1], pool)
+    held = seen.filter(part == 0)
     calibration = {view: _calibrated(_margin(models[view], held, "margin")) for view in VIEWS}
-    prior = rows.filter(F.col("good").isNotNull()).agg(
-        F.log(F.sum("good") + 1) - F.log(F.sum(1 - F.col("good")) + 1)
-    )
-    return CoTrained(features, models, calibration, float(prior.first()[0]))
+    seen_odds = seen.agg(F.log(F.sum("good") + 1) - F.log(F.sum(1 - F.col("good")) + 1))
+    return CoTrained(features, models, calibration, float(seen_odds.first()[0]))
 
 
-def _confident(scored: DataFrame, share: float, good: float) -> DataFrame:
-    """The surest guesses: ``share`` of the pool, both classes in the labels' proportion."""
-    low, high = scored.approxQuantile("margin", [share * (1 - good), 1 - share * good], 0.001) or (
-        float("-inf"),
-        float("inf"),
-    )
-    sure = scored.filter((F.col("margin") <= low) | (F.col("margin") >= high))
-    guess = F.when(F.col("margin") >= high, 1.0).otherwise(0.0)
-    # A guess counts half a label.
-    return sure.select(*VIEWS, guess.alias("good"), F.lit(0.5).alias("weight"))
+def confident(
+    rows: DataFrame,
+    marks: DataFrame,
+    models: dict[str, LogisticRegressionModel],
+    share: float,
+    good: float,
+) -> DataFrame:
+    """``doc_id``, the views, and ``by_text, by_page``: 1 or 0 where that view is sure, or null.
+
+    The surest ``share`` of all unlabelled rows of each view, both classes in the labels'
+    proportion. Only ids and margins, and then the sure rows, meet the labels.
+    """
+    margins = [f"m_{view}" for view in VIEWS]
+    for view, name in zip(VIEWS, margins, strict=True):
+        rows = _margin(models[view], rows, name)
+    unlabelled = rows.select("doc_id", *margins).join(marks, "doc_id", "left_anti")
+    unlabelled = stored(unlabelled, "margins", "zstd")
+    cuts = unlabelled.approxQuantile(margins, [share * (1 - good), 1 - share * good], 0.001)
+    for view, name, cut in zip(VIEWS, margins, cuts, strict=True):
+        low, high = cut or (float("-inf"), float("inf"))
+        sure = F.when(F.col(name) >= high, 1.0).when(F.col(name) <= low, 0.0)
+        rows = rows.withColumn(f"by_{view}", sure)
+    rows = rows.filter(F.coalesce(*[f"by_{view}" for view in VIEWS]).isNotNull()).drop(*margins)
+    return rows.join(marks.select("doc_id"), "doc_id", "left_anti")
+
+
+def _guesses(sure: DataFrame, view: str, labels: int, pool: int | None) -> DataFrame:
+    """What ``view`` hands over, as training rows."""
+    guess = F.col(f"by_{view}")
+    sure = sure.filter(guess.isNotNull())
+    if pool is not None:
+        sure = _chosen(sure, pool).repartition(sure.sparkSession.sparkContext.defaultParallelism)
+    # A guess counts half a label, all of them together half of all labels at most.
+    weight = 0.5 * min(1.0, labels / max(sure.count(), 1))
+    return sure.select(*VIEWS, guess.alias("good"), F.lit(weight).alias("weight"))
 
 
 def _calibrated(held: DataFrame) -> tuple[float, float]:

@@ -72,3 +72,51 @@ def test_labels_of_one_class_or_none(spark, documents):
         assert views == chance
         assert {r["p_good"] for r in cotraining.score(docs, views).collect()} == {chance}
         assert cotraining.good_documents(docs, views).count() == 2 * (chance >= 0.5)
+
+
+def test_every_unlabelled_document_is_scored_for_the_guesses(spark, monkeypatch):
+    size, known = 24_000, 400
+    word = F.transform(
+        F.sequence(F.lit(0), F.lit(9)), lambda i: F.substring(F.md5(F.concat("id", i)), 1, 2)
+    )
+    docs = spark.range(size).select(
+        F.col("id").alias("doc_id"),
+        F.concat_ws(
+            " ", word, F.when(F.col("id") % 3 == 0, "filth"), F.lpad("id", 6, "0")
+        ).alias("text"),
+        F.lit("en").alias("lang"), F.concat(F.lit("s"), F.col("id") % 5).alias("source"),
+        F.lit(None).cast("long").alias("n_chars"),
+    )
+    labels = spark.range(known).select(
+        F.col("id").alias("doc_id"), F.lit(1).alias("quality"),
+        (F.col("id") % 3 == 0).cast("int").alias("toxic"),
+    )
+    fit, taken = cotraining._fit, []
+
+    def counted(rows, view):
+        guesses = rows.filter("weight < 1").agg(F.count("*"), F.sum("weight")).first()
+        taken.append((rows.filter("weight = 1").count(), *guesses))
+        return fit(rows, view)
+
+    monkeypatch.setattr(cotraining, "_fit", counted)
+    cotraining.fit_views(docs, labels, 300, rounds=2)
+    assert [n for _, n, _ in taken[:2]] == [0, 0]
+    # A tenth of all that are unlabelled at least (ties go along), none of a labelled one; the
+    # guesses weigh half as much as the labels at most.
+    for of_labels, n, weight in taken[2:]:
+        assert n >= 0.095 * (size - known)
+        assert weight <= 0.5 * of_labels + 1e-6
+
+
+def test_no_guess_for_a_labelled_document(spark, monkeypatch):
+    docs, labels, _ = _corpus(spark, 600)
+    confident, found = cotraining.confident, []
+
+    def kept(*given):
+        found.append(confident(*given))
+        return found[-1]
+
+    monkeypatch.setattr(cotraining, "confident", kept)
+    cotraining.fit_views(docs, labels, 100, rounds=2)
+    ids = [r["doc_id"] for r in found[0].collect()]
+    assert ids and all(i % 2 == 0 for i in ids)
