@@ -24,6 +24,7 @@ from shoplytic.llm.common import read, text_or_empty
 from shoplytic.session import checkpoint_folder, pinned
 
 SHARDS = 40
+KATZ_ORDER = 3
 
 
 def op1_structured_secrets(spark: SparkSession, folder: str) -> DataFrame:
@@ -91,7 +92,7 @@ def op8_cover_anchors(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op9_katz_backoff(spark: SparkSession, folder: str) -> DataFrame:
-    return katz.score_documents(read(spark, folder, "documents"))
+    return katz.score_documents(read(spark, folder, "documents"), KATZ_ORDER)
 
 
 def op10_pigeonhole_leaks(spark: SparkSession, folder: str) -> DataFrame:

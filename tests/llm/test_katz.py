@@ -10,7 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from shoplytic.llm import katz
+from shoplytic.llm import katz, queries
 
 
 def _brute_force(rows, order):
@@ -135,3 +135,11 @@ def test_small_blocks_change_nothing(spark, documents):
 def test_discounts_fall_back_where_counts_are_thin():
     thin = katz.Statistics(10, 3, (3, 0, 1, 0, 0, 0)).discounts()
     assert np.allclose(thin[1:6], [0.5, 0.75, 2.5 / 3, 3.5 / 4, 4.5 / 5]) and thin[6] == 1
+
+
+def test_query_backs_off_from_trigrams(spark, documents, tmp_path):
+    rows = _corpus(5)
+    documents(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    expected, *_ = _brute_force(rows, 3)
+    got = queries.op9_katz_backoff(spark, str(tmp_path)).orderBy("doc_id").collect()
+    assert [r["score"] for r in got] == pytest.approx([e[5] for e in expected], abs=1e-9)
