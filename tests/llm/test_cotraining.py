@@ -120,3 +120,15 @@ def test_no_guess_for_a_labelled_document(spark, monkeypatch):
     cotraining.fit_views(docs, labels, 100, rounds=2)
     ids = [r["doc_id"] for r in found[0].collect()]
     assert ids and all(i % 2 == 0 for i in ids)
+
+
+def test_a_rare_word_is_a_feature(spark):
+    docs, labels, _ = _corpus(spark)
+    rare = [(9000 + i, "waa wbb rarefilth", "xx", "s1", 17) for i in range(3)]
+    docs = docs.union(spark.createDataFrame(rare, DOCUMENT))
+    labels = labels.union(spark.createDataFrame([(r[0], 1, 1) for r in rare], LABEL))
+    views = cotraining.fit_views(docs, labels, rounds=1)
+    asked = [(1, "waa wbb", "xx", "s1", 17), (2, "waa wbb rarefilth", "xx", "s1", 17)]
+    scored = cotraining.score(spark.createDataFrame(asked, DOCUMENT), views).orderBy("doc_id")
+    plain, toxic = [r["p_text"] for r in scored.collect()]
+    assert toxic < 0.95 * plain
