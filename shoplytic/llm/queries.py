@@ -19,6 +19,7 @@ from shoplytic.llm import (
     repeated_passages,
     secrets,
     sharding,
+    whitening,
 )
 from shoplytic.llm.common import read, text_or_empty
 from shoplytic.session import checkpoint_folder, pinned
@@ -101,6 +102,10 @@ def op10_pigeonhole_leaks(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op13_lanczos_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(read(spark, folder, "embeddings"))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
@@ -119,6 +124,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_cover_anchors,
         op9_katz_backoff,
         op10_pigeonhole_leaks,
+        op13_lanczos_whitening,
         pipeline,
     )
     return {f.__name__: f for f in found}
