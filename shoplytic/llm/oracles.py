@@ -127,6 +127,92 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(n_removed AS BIGINT) AS
 FROM k
 """
 
+def _merkle_field(value: str) -> str:
+    text = f"CAST({value} AS VARCHAR)"
+    return f"CASE WHEN {value} IS NULL THEN '-' ELSE strlen({text}) || ':' || {text} END"
+
+
+def _merkle_leaf(text: str) -> str:
+    fields = [_merkle_field(f) for f in ("doc_id", "source", "lang", "n_chars", text)]
+    return f"sha256({' || '.join(fields)})"
+
+
+MERKLE = f"""
+WITH RECURSIVE c AS (
+    SELECT *, CAST(doc_id AS VARCHAR) AS body, hex(encode(CAST(doc_id AS VARCHAR))) AS letters
+    FROM documents
+), t AS (
+    SELECT *, CASE WHEN {_CRC32} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS changed
+    FROM c
+), h AS (
+    SELECT doc_id, source, {_merkle_leaf("text")} AS leaf, {_merkle_leaf("changed")} AS other
+    FROM t
+), l AS (
+    SELECT doc_id, leaf, other, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree,
+           row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place,
+           count(*) OVER (PARTITION BY source) AS n
+    FROM h
+), nodes AS (
+    SELECT tree, CAST(0 AS BIGINT) AS lv, place AS i, n, leaf AS digest FROM l
+    UNION ALL
+    SELECT tree, lv + 1, i // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY i))
+    FROM nodes WHERE n > 1 GROUP BY tree, lv, i // 3, n
+), subroots AS (
+    SELECT tree, digest FROM nodes WHERE n = 1
+), tops AS (
+    SELECT CAST(0 AS BIGINT) AS lv, tree AS i, (SELECT count(*) FROM subroots) AS n, digest
+    FROM subroots
+    UNION ALL
+    SELECT lv + 1, i // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY i))
+    FROM tops WHERE n > 1 GROUP BY lv, i // 3, n
+), run AS (
+    SELECT l.tree, l.place, nodes.lv AS step, nodes.i, nodes.digest,
+           l.place // CAST(power(3, nodes.lv) AS BIGINT) AS own
+    FROM l JOIN nodes ON nodes.tree = l.tree AND nodes.n > 1
+         AND nodes.i // 3 = l.place // CAST(power(3, nodes.lv + 1) AS BIGINT)
+    UNION ALL
+    SELECT l.tree, l.place, 1000 + tops.lv, tops.i, tops.digest,
+           l.tree // CAST(power(3, tops.lv) AS BIGINT)
+    FROM l JOIN tops ON tops.n > 1
+         AND tops.i // 3 = l.tree // CAST(power(3, tops.lv + 1) AS BIGINT)
+), steps AS (
+    SELECT tree, place, row_number() OVER (PARTITION BY tree, place ORDER BY step) AS k,
+           coalesce(string_agg(digest, '' ORDER BY i) FILTER (i < own), '') AS lefts,
+           coalesce(string_agg(digest, '' ORDER BY i) FILTER (i > own), '') AS rights
+    FROM run GROUP BY tree, place, step
+), proof AS (
+    SELECT tree, place, count(*) AS k, sha256(string_agg(lefts || rights, '' ORDER BY k)) AS proof
+    FROM steps GROUP BY tree, place
+), fold AS (
+    SELECT tree, place, CAST(0 AS BIGINT) AS k, other AS value FROM l
+    UNION ALL
+    SELECT f.tree, f.place, s.k, sha256(s.lefts || f.value || s.rights)
+    FROM fold f JOIN steps s ON s.tree = f.tree AND s.place = f.place AND s.k = f.k + 1
+)
+SELECT l.doc_id, l.leaf, subroots.digest AS subroot, root.digest AS root,
+       coalesce(proof.proof, sha256('')) AS proof_sha256, fold.value AS folded_root,
+       fold.value = root.digest AS verified
+FROM l JOIN subroots ON subroots.tree = l.tree
+     JOIN (SELECT digest FROM tops WHERE n = 1) root ON true
+     LEFT JOIN proof ON proof.tree = l.tree AND proof.place = l.place
+     JOIN fold ON fold.tree = l.tree AND fold.place = l.place AND fold.k = coalesce(proof.k, 0)
+"""
+
+
+WARC_PAGES = """
+WITH p AS (
+    SELECT page_id, coalesce(html, '') AS body, CAST(strlen(coalesce(html, '')) AS BIGINT) AS size
+    FROM pages
+), g AS (
+    SELECT *, max(page_id) OVER (PARTITION BY body) AS largest FROM p
+)
+SELECT page_id, size AS payload_bytes, sha1(body) AS payload_digest,
+       CASE WHEN size >= 1000 AND page_id IS DISTINCT FROM largest THEN 'revisit'
+            ELSE 'response' END AS record_type,
+       CASE WHEN size >= 1000 AND page_id IS DISTINCT FROM largest THEN largest END AS refers_to
+FROM g
+"""
+
 
 def llm_oracle_sql() -> dict[str, str]:
     return {
@@ -135,4 +221,6 @@ def llm_oracle_sql() -> dict[str, str]:
         "op6_line_spread": LINE_SPREAD,
         "op7_circulant_minhash": NEAR_DUPLICATES,
         "op8_cover_anchors": REPEATED_PASSAGES,
+        "op11_bitmap_manifest": MERKLE,
+        "op12_boundary_chain": WARC_PAGES,
     }

@@ -14,11 +14,13 @@ from shoplytic.llm import (
     digest_index,
     katz,
     line_spread,
+    merkle,
     mixing,
     near_duplicates,
     repeated_passages,
     secrets,
     sharding,
+    warc,
     whitening,
 )
 from shoplytic.llm.common import read, text_or_empty
@@ -102,6 +104,15 @@ def op10_pigeonhole_leaks(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_bitmap_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.proofs(merkle.build(read(spark, folder, "documents")))
+
+
+def op12_boundary_chain(spark: SparkSession, folder: str) -> DataFrame:
+    archives = f"{checkpoint_folder(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    return warc.page_records(spark, read(spark, folder, "pages"), archives)
+
+
 def op13_lanczos_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.whiten(read(spark, folder, "embeddings"))
 
@@ -124,6 +135,8 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_cover_anchors,
         op9_katz_backoff,
         op10_pigeonhole_leaks,
+        op11_bitmap_manifest,
+        op12_boundary_chain,
         op13_lanczos_whitening,
         pipeline,
     )
