@@ -1,8 +1,6 @@
 from __future__ import annotations
 
-import datetime as dt
 import sys
-from decimal import Decimal
 from pathlib import Path
 
 import pytest
@@ -10,7 +8,8 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 from shoplytic import session  # noqa: E402
-from shoplytic.schema import SCHEMAS, Tables  # noqa: E402
+from shoplytic.schema import Tables  # noqa: E402
+from shop_data import shop  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -39,36 +38,6 @@ def many_slices(spark):
     spark.conf.set(key, before)
 
 
-def day(text: str) -> dt.date:
-    return dt.date.fromisoformat(text)
-
-
-def rows(df) -> list[dict]:
-    return [row.asDict() for row in df.collect()]
-
-
-def frame(spark, name: str, records: list[dict]):
-    """A table's frame from partial records; columns left out are null."""
-    schema = SCHEMAS[name]
-    kinds = {f.name: f.dataType.typeName() for f in schema.fields}
-
-    def value(record, column):
-        given = record.get(column)
-        if given is not None and kinds[column] == "decimal":
-            return Decimal(str(given))
-        if given is not None and kinds[column] == "date":
-            return day(given)
-        return given
-
-    return spark.createDataFrame(
-        [tuple(value(r, f.name) for f in schema.fields) for r in records], schema
-    )
-
-
-def shop(spark, **tables: list[dict]) -> Tables:
-    return Tables(**{name: frame(spark, name, tables.get(name, [])) for name in SCHEMAS})
-
-
 @pytest.fixture(scope="session")
 def small(spark) -> Tables:
     """Customers: 1 buys twice, 2 ties with 1, 3 only cancelled, 4 nothing, 5 no items."""
@@ -122,6 +91,3 @@ def small(spark) -> Tables:
             ]
         ],
     )
-
-
-AS_OF = day("2025-01-01")

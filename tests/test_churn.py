@@ -4,7 +4,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import AS_OF, rows, shop
+from shop_data import AS_OF, rows, shop
 from shoplytic.operators import churn
 from shoplytic.plans import churn as model_plan
 

@@ -3,7 +3,7 @@ from decimal import Decimal
 
 import pytest
 
-from conftest import AS_OF, day, frame, rows, shop
+from shop_data import AS_OF, day, frame, rows, shop
 from pyspark.sql import functions as F
 
 from shoplytic.operators import cohorts, customers, filters, kpis, revenue

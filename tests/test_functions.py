@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from conftest import day
+from shop_data import day
 from shoplytic.functions import dates, labels, numeric
 
 

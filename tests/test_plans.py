@@ -5,7 +5,7 @@ from pathlib import Path
 
 import pytest
 
-from conftest import AS_OF
+from shop_data import AS_OF
 from shoplytic.operators import churn, cohorts, customers, insights, kpis, products, revenue
 from shoplytic.plans import churn as churn_model
 from shoplytic.schema import SCHEMAS

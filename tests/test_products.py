@@ -7,7 +7,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from conftest import rows, shop
+from shop_data import rows, shop
 from shoplytic.operators import affinity, products
 
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from conftest import rows
+from shop_data import rows
 from shoplytic.operators.ranking import exact_median, global_ranks, in_sorted_slices, ntile
 
 

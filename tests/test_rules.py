@@ -6,7 +6,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import AS_OF, frame, rows, shop
+from shop_data import AS_OF, frame, rows, shop
 from shoplytic.operators import churn, insights, pricing, quality
 from shoplytic.plans.dashboard import dashboard_payload
 

@@ -4,7 +4,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import day, rows, shop
+from shop_data import day, rows, shop
 from shoplytic.operators import sales
 from shoplytic.plans import forecast
 

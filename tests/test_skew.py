@@ -9,7 +9,7 @@ from decimal import Decimal
 
 import pytest
 
-from conftest import AS_OF, rows, shop
+from shop_data import AS_OF, rows, shop
 from shoplytic.operators import churn, customers, products, sales
 from shoplytic.sources.tables import query
 

@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import AS_OF, day, rows
+from shop_data import AS_OF, day, rows
 from shoplytic.schema import SCHEMAS
 from shoplytic.sources import tables, views
 from shoplytic.streaming import sales_stream
