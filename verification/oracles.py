@@ -389,6 +389,16 @@ def oracle_sql() -> dict[str, str]:
     order_features = _with(SHOP, _churn_features("order"))
     line_features = _with(SHOP, _churn_features("line"))
     horizon = _churn_features("line", "2001-04-03", only_until=True)
+    daily_sales = f"""{_with(SHOP, _daily())}
+        SELECT sales_date, order_count, daily_revenue, avg_order_value, unique_customers
+        FROM daily"""
+    valid_rows = f"""{base}
+        SELECT order_id, customer_id, CAST(total_amount AS DOUBLE) AS total_amount, order_date
+        FROM valid_orders"""
+    periods = ", ".join(
+        f"MAX(CASE WHEN period_number = {p} THEN retention_rate END) AS period_{p}"
+        for p in range(80)
+    )
     top_customers = """
         SELECT customer_id, first_name || ' ' || last_name AS customer_name, customer_tier,
                total_orders, total_spent, pct_of_total_revenue
@@ -473,18 +483,8 @@ def oracle_sql() -> dict[str, str]:
             FROM shop_orders WHERE order_date >= DATE '1998-01-01' GROUP BY order_status""",
         "cohort_retention": f"{_with(SHOP, COHORTS)} SELECT * FROM retention",
         # As wide as the data: a column for every period up to the last one.
-        "cohort_matrix": f"""{_with(SHOP, COHORTS)},
-            periods AS (
-                SELECT unnest(range(0, (SELECT MAX(period_number) FROM retention) + 1)) AS p
-            ),
-            cells AS (
-                SELECT c.cohort_month, 'period_' || periods.p AS period, r.retention_rate
-                FROM (SELECT DISTINCT cohort_month FROM retention) c CROSS JOIN periods
-                LEFT JOIN retention r
-                  ON r.cohort_month = c.cohort_month AND r.period_number = periods.p
-            )
-            SELECT * FROM (PIVOT cells ON period USING first(retention_rate)
-                           GROUP BY cohort_month)""",
+        "cohort_matrix": f"""{_with(SHOP, COHORTS)}
+            SELECT cohort_month, {periods} FROM retention GROUP BY cohort_month""",
         "product_performance": f"{performance} SELECT * FROM report",
         "products_filtered": f"""{performance}
             SELECT * FROM report WHERE category_name IN ('PROMO', 'SMALL')""",
@@ -734,18 +734,24 @@ def oracle_sql() -> dict[str, str]:
                    CAST(SUM(days_since_last_order) AS DOUBLE) / COUNT(*) AS avg_recency,
                    CAST(SUM(orders_last_90_days) AS DOUBLE) / COUNT(*) AS recent_activity
             FROM churn GROUP BY customer_tier""",
-        "stream_daily_sales": f"""{_with(SHOP, _daily())}
-            SELECT sales_date, order_count, daily_revenue, avg_order_value, unique_customers
-            FROM daily""",
+        "stream_daily_sales": daily_sales,
+        "stream_late_days": daily_sales,
         "stream_running_totals": f"""{base}
             SELECT COUNT(*) AS total_orders, CAST(SUM(total_amount) AS DOUBLE) AS total_revenue,
                    CAST(SUM(total_amount) AS DOUBLE) / COUNT(total_amount) AS avg_order_value,
                    COUNT(DISTINCT customer_id) AS active_customers, TRUE AS estimate_is_near
             FROM valid_orders""",
-        "stream_first_arrivals": f"""{base}
-            SELECT order_id, customer_id, CAST(total_amount AS DOUBLE) AS total_amount,
-                   order_date
+        "stream_exact_totals": f"""{base}
+            SELECT COUNT(*) AS total_orders, CAST(SUM(total_amount) AS DOUBLE) AS total_revenue,
+                   CAST(SUM(total_amount) AS DOUBLE) / COUNT(total_amount) AS avg_order_value,
+                   COUNT(DISTINCT customer_id) AS active_customers
             FROM valid_orders""",
+        "stream_first_arrivals": valid_rows,
+        "stream_insert_once": valid_rows,
+        "stream_sales_features": _sales_features(lagged=False),
+        "stream_sales_features_by_payment": _sales_features(
+            lagged=False, series="payment_method"
+        ),
         **part_oracles(
             line_features,
             order_features,

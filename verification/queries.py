@@ -42,6 +42,8 @@ TIERS = ("BUILDING", "MACHINERY")
 ALL_TIERS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
 CATEGORIES = ("PROMO", "SMALL")
 BRAND = "Brand#1"
+# Months from the first day that orders can have to AS_OF.
+LAST_PERIOD = 79
 SERIES_TREES = 20
 TIER_RATES = {"BUILDING": "0.05", "MACHINERY": "0.10"}
 TIER_SHARES = {"BUILDING": 20, "MACHINERY": 30}
@@ -180,7 +182,7 @@ def sql_queries() -> dict[str, Query]:
         "revenue_linear_forecast": linear_forecast,
         "revenue_by_status": revenue_by_status,
         "cohort_retention": cohorts.cohort_retention,
-        "cohort_matrix": lambda t: cohorts.cohort_matrix(cohorts.cohort_retention(t)),
+        "cohort_matrix": lambda t: cohorts.cohort_matrix(cohorts.cohort_retention(t), LAST_PERIOD),
         "product_performance": products.product_performance,
         "product_quartiles": products.product_quartiles,
         "products_filtered": catalogue_filtered,
@@ -239,6 +241,11 @@ def sql_queries() -> dict[str, Query]:
         streams.stream_daily_sales,
         streams.stream_running_totals,
         streams.stream_first_arrivals,
+        streams.stream_insert_once,
+        streams.stream_late_days,
+        streams.stream_exact_totals,
+        streams.stream_sales_features,
+        streams.stream_sales_features_by_payment,
     ):
         runs[stream.__name__] = _plain_stream(stream)
     return runs
