@@ -11,6 +11,7 @@ from shoplytic.functions.dates import day, days_before
 from shoplytic.functions.numeric import as_number, mean_of, ratio_or_zero
 from shoplytic.operators.products import sold_items
 from shoplytic.schema import Tables, valid_orders
+from shoplytic.sources.layout import in_dates
 
 # Windows in days, and the at-risk band (both ends excluded).
 MIN_TENURE_DAYS = 30
@@ -97,15 +98,29 @@ def churn_features(
     table, so both joins to it are on unique keys.
     """
     orders = _order_features(_weighted_orders(t, grain), days_before(as_of, active_days))
+    return assembled_features(
+        t.customers, orders, _product_counts(t), as_of, min_tenure, churn_days
+    )
+
+
+def assembled_features(
+    customers: DataFrame,
+    orders: DataFrame,
+    products: DataFrame,
+    as_of: dt.date,
+    min_tenure: int = MIN_TENURE_DAYS,
+    churn_days: int = CHURN_DAYS,
+) -> DataFrame:
+    """``churn_features`` from sums per customer, however they were come by."""
     today = day(as_of)
     zero = F.lit(0).cast("long")
     no_money = F.lit(0).cast("decimal(38,2)")
     last = F.coalesce("last_valid_order", "registration_date")
     lapsed = F.col("last_valid_order") < day(days_before(as_of, churn_days))
     return (
-        t.customers.filter(F.datediff(today, "registration_date") >= min_tenure)
+        customers.filter(F.datediff(today, "registration_date") >= min_tenure)
         .join(orders, "customer_id", "left")
-        .join(_product_counts(t), "customer_id", "left")
+        .join(products, "customer_id", "left")
         .select(
             "customer_id",
             "customer_tier",
@@ -139,10 +154,9 @@ def churn_features_at_horizon(
     comes from a period the features cannot see.
     """
     cutoff = days_before(as_of, horizon_days)
-    known = t.with_orders(t.orders.filter(F.col("order_date") <= day(cutoff)))
+    known = t.with_orders(in_dates(t.orders, last=cutoff))
     came_back = (
-        valid_orders(t)
-        .filter((F.col("order_date") > day(cutoff)) & (F.col("order_date") <= day(as_of)))
+        in_dates(valid_orders(t), cutoff + dt.timedelta(days=1), as_of)
         .select("customer_id")
         .distinct()
         .withColumn("returned", F.lit(True))

@@ -12,6 +12,7 @@ from shoplytic.functions.numeric import ratio
 from shoplytic.operators.churn import churn_features, retention_alert_count
 from shoplytic.operators.revenue import DECLINE_PCT, STRONG_GROWTH_PCT, monthly_revenue
 from shoplytic.schema import Tables, valid_orders
+from shoplytic.sources.layout import in_dates
 
 # Insight texts.
 RETENTION = {
@@ -60,7 +61,7 @@ def retention_insight(features: DataFrame) -> DataFrame:
 def recent_monthly_revenue(t: Tables, as_of: dt.date) -> DataFrame:
     """Months of the trailing quarter, counted back from ``as_of`` by date."""
     since = F.add_months(day(as_of), -TRAILING_MONTHS)
-    return monthly_revenue(valid_orders(t).filter(F.col("order_date") >= since))
+    return monthly_revenue(in_dates(valid_orders(t), since))
 
 
 def revenue_trend_signal(t: Tables, as_of: dt.date) -> DataFrame:

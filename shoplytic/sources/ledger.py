@@ -23,5 +23,8 @@ class Ledger:
 
     def add(self, *values: object) -> None:
         """Commit one entry."""
-        entry = self.spark.createDataFrame([values], self.schema)
-        entry.coalesce(1).write.mode("append").parquet(self.folder)
+        self.add_all(self.spark.createDataFrame([values], self.schema))
+
+    def add_all(self, entries: DataFrame) -> None:
+        """Commit some entries together, as one file."""
+        entries.coalesce(1).write.mode("append").parquet(self.folder)
