@@ -1,4 +1,4 @@
-"""Ranks, quartiles and medians over a whole table without gathering it in one task.
+"""Ranks and quartiles over a whole table without gathering it in one task.
 
 A window without PARTITION BY sends every row to one task, and one by customer
 tier sends a tier to one task. Here the rows are range-sorted once into many
@@ -15,6 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shoplytic.operators.selection import median
 from shoplytic.session import pinned
 
 # monotonically_increasing_id keeps the partition number above this bit.
@@ -115,32 +116,5 @@ def ntile(position: Column, rows: Column, buckets: int) -> Column:
 
 
 def exact_median(df: DataFrame, value: str) -> DataFrame:
-    """One row: the interpolated median of the non-null ``value``, as ``median``.
-
-    Equal values are counted first, so a value most rows share is a single row.
-    """
-    counts = (
-        df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_rows"))
-    )
-    sliced = in_sorted_slices(counts, F.col(value).asc())
-    sizes = sliced.groupBy("_slice").agg(F.sum("_rows").alias("_in_slice"))
-    earlier = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(
-        "_slice",
-        F.coalesce(F.sum("_in_slice").over(earlier), F.lit(0)).alias("_offset"),
-        F.sum("_in_slice").over(Window.partitionBy()).alias("_all"),
-    )
-    in_slice = Window.partitionBy("_slice").orderBy("_row")
-    spans = (
-        sliced.withColumn("_so_far", F.sum("_rows").over(in_slice))
-        .join(offsets, "_slice")
-        .withColumn("_to", F.col("_offset") + F.col("_so_far"))
-        .withColumn("_from", F.col("_to") - F.col("_rows") + 1)
-    )
-    low = F.floor((F.col("_all") + 1) / 2)
-    high = F.floor(F.col("_all") / 2) + 1
-    middle = spans.filter(low.between(F.col("_from"), F.col("_to"))
-                          | high.between(F.col("_from"), F.col("_to")))
-    return middle.agg(
-        ((F.min(value).cast("double") + F.max(value).cast("double")) / 2).alias("median")
-    )
+    """One row: the interpolated median of the non-null ``value``, as ``median``."""
+    return df.sparkSession.createDataFrame([(median(df, value),)], "median double")

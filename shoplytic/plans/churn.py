@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+import uuid
+from collections.abc import Mapping, Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import (
+    SQLTransformer,
+    StringIndexer,
+    StringIndexerModel,
+    VectorAssembler,
+)
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,7 +22,9 @@ from pyspark.sql import functions as F
 from shoplytic.functions.labels import RISK_LEVELS, risk_level
 from shoplytic.operators.churn import MODEL_COLUMNS, churn_ratios
 from shoplytic.operators.filters import by_id
+from shoplytic.operators.scaling import Scaling, fit_scaling
 from shoplytic.session import pinned
+from shoplytic.sources.ledger import Ledger
 
 # Forest and split settings.
 TREES = 100
@@ -73,15 +82,21 @@ def _balanced(train: DataFrame) -> DataFrame:
     return train.withColumn("class_weight", weight)
 
 
-def churn_pipeline(seed: int = SEED, trees: int = TREES) -> Pipeline:
-    """Tier codes, assembled inputs, forest. Trees need no scaling."""
-    tiers = StringIndexer(
+def tier_codes() -> StringIndexer:
+    return StringIndexer(
         inputCol="customer_tier",
         outputCol=MODEL_COLUMNS[0],
         stringOrderType="alphabetAsc",
         handleInvalid="keep",
     )
-    inputs = VectorAssembler(inputCols=list(MODEL_COLUMNS), outputCol="features")
+
+
+def churn_pipeline(
+    tiers: StringIndexerModel, scaling: Scaling, seed: int = SEED, trees: int = TREES
+) -> Pipeline:
+    """Tier codes, standardised inputs, forest. Codes and scaling come fitted."""
+    scaled = [f"scaled_{c}" for c in MODEL_COLUMNS]
+    inputs = VectorAssembler(inputCols=scaled, outputCol="features")
     forest = RandomForestClassifier(
         labelCol="is_churned",
         weightCol="class_weight",
@@ -90,7 +105,10 @@ def churn_pipeline(seed: int = SEED, trees: int = TREES) -> Pipeline:
         minInstancesPerNode=MIN_ROWS_PER_LEAF,
         seed=seed,
     )
-    return Pipeline(stages=[tiers, inputs, forest])
+    columns = scaling.sql("scaled_")
+    return Pipeline(
+        stages=[tiers, SQLTransformer(statement=f"SELECT *, {columns} FROM __THIS__"), inputs, forest]
+    )
 
 
 def _accuracy(scored: DataFrame) -> float:
@@ -107,8 +125,11 @@ def train_churn(
     # on shared storage so that a lost executor does not mean reading all orders again.
     split = pinned(split).persist()
     try:
+        # Codes and scales are those of all rows, test rows too.
+        tiers = tier_codes().fit(split)
+        scaling = fit_scaling(tiers.transform(split), MODEL_COLUMNS)
         train = _balanced(split.filter(~F.col("is_test")))
-        model = churn_pipeline(seed, trees).fit(train)
+        model = churn_pipeline(tiers, scaling, seed, trees).fit(train)
         tested = model.transform(split.filter(F.col("is_test")))
         auc = BinaryClassificationEvaluator(
             labelCol="is_churned", metricName="areaUnderROC", numBins=0
@@ -160,14 +181,49 @@ def most_likely_first(predictions: DataFrame) -> DataFrame:
     return predictions.orderBy(F.col("churn_probability").desc(), "customer_id")
 
 
-def save_model(model: PipelineModel | None, path: str) -> None:
-    if model is None:
-        raise ValueError("there is no trained model to save")
-    model.write().overwrite().save(path)
+MANIFEST = "number long, folder string, stages array<string>, tiers array<string>, details string"
+
 
+def _manifests(spark: SparkSession, path: str) -> Ledger:
+    return Ledger(spark, f"{path}/manifests", MANIFEST)
 
-def load_model(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+
+def save_model(
+    model: PipelineModel | None, path: str, details: Mapping[str, object] | None = None
+) -> str:
+    """Save ``model`` as the newest version under ``path`` and return its folder's name.
+
+    The version gets a folder of its own; the manifest that names it, with its stages, tier
+    codes and ``details`` (as training figures), is committed last. Readers load a whole
+    version at any time: the one before until then, and this one afterwards.
+    """
+    if model is None:
+        raise ValueError("there is no trained model to save")
+    spark = SparkSession.active()
+    folder = f"version-{uuid.uuid4().hex}"
+    model.write().save(f"{path}/{folder}")
+    manifests = _manifests(spark, path)
+    number = manifests.entries().agg(F.coalesce(F.max("number"), F.lit(0))).first()[0] + 1
+    tiers = [label for s in model.stages if isinstance(s, StringIndexerModel) for label in s.labels]
+    stages = [type(s).__name__ for s in model.stages]
+    manifests.add(number, folder, stages, tiers, json.dumps(dict(details or {}), sort_keys=True))
+    return folder
+
+
+def saved_models(path: str) -> DataFrame:
+    """The manifests of all versions under ``path``, newest first."""
+    entries = _manifests(SparkSession.active(), path).entries()
+    return entries.orderBy(F.desc("number"), F.desc("folder"))
+
+
+def load_model(path: str, folder: str | None = None) -> PipelineModel:
+    """The newest version under ``path``, or the one in ``folder``."""
+    if folder is None:
+        newest = saved_models(path).first()
+        if newest is None:
+            raise FileNotFoundError(f"no model has been saved in {path}")
+        folder = newest["folder"]
+    return PipelineModel.load(f"{path}/{folder}")
 
 
 def risk_summary(predictions: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from shoplytic.schema import SCHEMAS, Tables
 from shoplytic.session import pinned
+from shoplytic.sources.ledger import Ledger
 
 
 def typed(df: DataFrame, name: str) -> DataFrame:
@@ -100,6 +101,41 @@ def append(
         writer.save(target)
 
 
+LOADS = "_loads"
+
+
+def _loads(spark: SparkSession, target: str) -> Ledger:
+    # Spark skips folders that begin with an underscore when it reads the target.
+    return Ledger(spark, f"{target}/{LOADS}", "load string, written long")
+
+
+def append_once(df: DataFrame, target: str, columns: Sequence[str], load: str) -> bool:
+    """Append ``columns`` of ``df`` as ``load``; false if that load is there already.
+
+    A load is a partition of its own. Running it again after a failure replaces what it
+    left, and other loads are not touched; the ledger entry, written last, makes it count.
+    ``loaded`` reads the table.
+    """
+    ledger = _loads(df.sparkSession, target)
+    if not ledger.entries().filter(F.col("load") == load).isEmpty():
+        return False
+    rows = pinned(df.select(*columns))
+    rows.withColumn("load", F.lit(load)).write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic"
+    ).partitionBy("load").parquet(target)
+    ledger.add(load, rows.count())
+    return True
+
+
+def loaded(spark: SparkSession, target: str, schema: str) -> DataFrame:
+    """The rows of all loads that ``append_once`` has finished; folders of others aren't read."""
+    loads = [r["load"] for r in _loads(spark, target).entries().collect() if r["written"]]
+    if not loads:
+        return spark.createDataFrame([], schema)
+    rows = spark.read.schema(f"{schema}, load string").parquet(target)
+    return rows.filter(F.col("load").isin(loads)).drop("load")
+
+
 def register(t: Tables) -> None:
     """Name the tables as temporary views for SQL."""
     for name in SCHEMAS:

@@ -6,6 +6,7 @@ are cast to DOUBLE at the end, as the queries do.
 
 from __future__ import annotations
 
+from shoplytic.operators.churn import MODEL_COLUMNS
 from verification.model_parts import part_oracles
 
 SHOP = """
@@ -399,6 +400,40 @@ def oracle_sql() -> dict[str, str]:
         f"MAX(CASE WHEN period_number = {p} THEN retention_rate END) AS period_{p}"
         for p in range(80)
     )
+    recent_months = f"""{base}
+        SELECT CAST(date_trunc('month', order_date) AS DATE) AS month,
+               COUNT(*) AS orders_count,
+               CAST(SUM(total_amount) AS DOUBLE) AS monthly_revenue
+        FROM valid_orders WHERE order_date >= DATE '2001-08-01' - INTERVAL 3 MONTH
+        GROUP BY 1"""
+    model_inputs = f"""{line_features}
+        SELECT customer_id,
+               CAST(DENSE_RANK() OVER (ORDER BY customer_tier) - 1 AS DOUBLE)
+                   AS customer_tier_encoded,
+               CAST(days_since_registration AS DOUBLE) AS days_since_registration,
+               CAST(total_orders AS DOUBLE) AS total_orders,
+               total_spent, avg_order_value,
+               CAST(days_since_last_order AS DOUBLE) AS days_since_last_order,
+               CAST(orders_last_90_days AS DOUBLE) AS orders_last_90_days,
+               spent_last_90_days,
+               CAST(unique_products AS DOUBLE) AS unique_products,
+               CAST(payment_methods_used AS DOUBLE) AS payment_methods_used,
+               CAST(discount_orders AS DOUBLE) AS discount_orders,
+               avg_discount_used,
+               CASE WHEN days_since_registration > 0 THEN CAST(total_orders AS DOUBLE)
+                    / (CAST(days_since_registration AS DOUBLE) / 30.0) ELSE 0 END
+                   AS order_frequency,
+               CASE WHEN total_orders > 0 THEN CAST(orders_last_90_days AS DOUBLE)
+                    / CAST(total_orders AS DOUBLE) ELSE 0 END AS recent_activity_ratio,
+               CASE WHEN days_since_registration > 0 THEN total_spent
+                    / CAST(days_since_registration AS DOUBLE) ELSE 0 END AS spending_per_day,
+               is_churned
+        FROM churn"""
+    scaled = ", ".join(
+        f"round(({c} - AVG({c}) OVER ()) / CASE WHEN STDDEV_POP({c}) OVER () = 0 THEN 1 "
+        f"ELSE STDDEV_POP({c}) OVER () END, 6) + 0.0 AS {c}"
+        for c in MODEL_COLUMNS
+    )
     top_customers = """
         SELECT customer_id, first_name || ' ' || last_name AS customer_name, customer_tier,
                total_orders, total_spent, pct_of_total_revenue
@@ -577,29 +612,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT churn.* EXCLUDE (is_churned),
                    CASE WHEN came_back.customer_id IS NULL THEN 1 ELSE 0 END AS is_churned
             FROM churn LEFT JOIN came_back ON came_back.customer_id = churn.customer_id""",
-        "churn_model_inputs": f"""{line_features}
-            SELECT customer_id,
-                   CAST(DENSE_RANK() OVER (ORDER BY customer_tier) - 1 AS DOUBLE)
-                       AS customer_tier_encoded,
-                   CAST(days_since_registration AS DOUBLE) AS days_since_registration,
-                   CAST(total_orders AS DOUBLE) AS total_orders,
-                   total_spent, avg_order_value,
-                   CAST(days_since_last_order AS DOUBLE) AS days_since_last_order,
-                   CAST(orders_last_90_days AS DOUBLE) AS orders_last_90_days,
-                   spent_last_90_days,
-                   CAST(unique_products AS DOUBLE) AS unique_products,
-                   CAST(payment_methods_used AS DOUBLE) AS payment_methods_used,
-                   CAST(discount_orders AS DOUBLE) AS discount_orders,
-                   avg_discount_used,
-                   CASE WHEN days_since_registration > 0 THEN CAST(total_orders AS DOUBLE)
-                        / (CAST(days_since_registration AS DOUBLE) / 30.0) ELSE 0 END
-                       AS order_frequency,
-                   CASE WHEN total_orders > 0 THEN CAST(orders_last_90_days AS DOUBLE)
-                        / CAST(total_orders AS DOUBLE) ELSE 0 END AS recent_activity_ratio,
-                   CASE WHEN days_since_registration > 0 THEN total_spent
-                        / CAST(days_since_registration AS DOUBLE) ELSE 0 END AS spending_per_day,
-                   is_churned
-            FROM churn""",
+        "churn_model_inputs": model_inputs,
         "churn_dataset_summary": f"""{line_features}
             SELECT COUNT(*) AS customers,
                    CAST(SUM(is_churned) AS DOUBLE) / COUNT(*) AS churn_rate,
@@ -717,17 +730,38 @@ def oracle_sql() -> dict[str, str]:
                    CAST(o.total_amount AS DOUBLE) AS total_amount, i.product_id, i.quantity,
                    CAST(i.line_total AS DOUBLE) AS line_total
             FROM valid_orders o LEFT JOIN shop_items i ON i.order_id = o.order_id""",
-        "recent_monthly_revenue": f"""{base}
-            SELECT CAST(date_trunc('month', order_date) AS DATE) AS month,
-                   COUNT(*) AS orders_count,
-                   CAST(SUM(total_amount) AS DOUBLE) AS monthly_revenue
-            FROM valid_orders WHERE order_date >= DATE '2001-08-01' - INTERVAL 3 MONTH
-            GROUP BY 1""",
+        "recent_monthly_revenue": recent_months,
         "at_risk_customers": f"{order_features} SELECT * FROM churn WHERE {_AT_RISK}",
         "sales_features_by_payment": _sales_features(lagged=False, series="payment_method"),
         "appended_customers": f"""{base}
             SELECT customer_tier, customer_id FROM shop_customers
             WHERE customer_tier IS NOT NULL""",
+        "appended_once": f"""{base}
+            SELECT customer_tier, customer_id FROM shop_customers
+            WHERE customer_tier IS NOT NULL""",
+        "pruned_monthly_revenue": recent_months,
+        "pruned_tier_revenue": f"""{base}
+            SELECT customer_tier, COUNT(*) AS orders_count,
+                   CAST(SUM(total_amount) AS DOUBLE) AS revenue
+            FROM valid_orders JOIN shop_customers USING (customer_id)
+            WHERE EXTRACT(quarter FROM order_date) = 2
+              AND customer_tier IN ('BUILDING', 'MACHINERY')
+            GROUP BY customer_tier""",
+        "maintained_sales_features": _sales_features(lagged=False),
+        "maintained_churn_features": f"{order_features} SELECT * FROM churn",
+        "profit_quartile_limits": f"""{performance},
+            numbered AS (
+                SELECT total_profit, row_number() OVER (ORDER BY total_profit) AS place,
+                       COUNT(*) OVER () AS n
+                FROM report WHERE total_profit IS NOT NULL
+            ),
+            parts AS (SELECT CAST(unnest(range(1, 5)) AS INTEGER) AS part)
+            SELECT part, total_profit AS "limit",
+                   (SELECT COUNT(*) FROM report r WHERE r.total_profit <= l.total_profit)
+                       AS rows_up_to
+            FROM parts JOIN numbered l ON l.place = (part * n + 3) // 4""",
+        "churn_scaled_inputs": f"""
+            SELECT customer_id, {scaled}, is_churned FROM ({model_inputs})""",
         "sql_over_views": f"""{order_features}
             SELECT customer_tier, COUNT(*) AS customers,
                    CAST(SUM(CAST(total_spent AS DECIMAL(28,2))) AS DOUBLE) / COUNT(*) AS avg_clv,

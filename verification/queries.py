@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
@@ -24,14 +25,16 @@ from shoplytic.operators import (
     quality,
     revenue,
     sales,
+    scaling,
+    selection,
 )
 from shoplytic.plans import churn as churn_model
 from shoplytic.plans import dashboard
 from shoplytic.plans import forecast as forecast_model
-from shoplytic.schema import Tables
+from shoplytic.schema import Tables, valid_orders
 from shoplytic.session import checkpoint_folder
 from shoplytic.sources import tables as sources
-from shoplytic.sources import tpch, views
+from shoplytic.sources import layout, maintained, tpch, views
 from verification import streams
 from verification.model_parts import part_queries
 
@@ -44,6 +47,7 @@ CATEGORIES = ("PROMO", "SMALL")
 BRAND = "Brand#1"
 # Months from the first day that orders can have to AS_OF.
 LAST_PERIOD = 79
+LAST_YEAR = dt.date(2000, 8, 1)
 SERIES_TREES = 20
 TIER_RATES = {"BUILDING": "0.05", "MACHINERY": "0.10"}
 TIER_SHARES = {"BUILDING": 20, "MACHINERY": 30}
@@ -139,6 +143,86 @@ def appended_customers(t: Tables) -> DataFrame:
     return t.customers.sparkSession.read.parquet(target)
 
 
+def appended_once(t: Tables) -> DataFrame:
+    """Every tier appended twice under one load id, as by a retry, and read back."""
+    spark = t.customers.sparkSession
+    target = f"{checkpoint_folder(spark)}/appended-{uuid.uuid4()}"
+    columns = ["customer_tier", "customer_id"]
+    for tier in (*ALL_TIERS, *ALL_TIERS):
+        part = filters.customers_filtered(t.customers, [tier])
+        sources.append_once(part, target, columns, f"load-{tier}")
+    return sources.loaded(spark, target, "customer_tier string, customer_id long")
+
+
+def _laid_out(t: Tables, by: str) -> Tables:
+    """The tables with orders and lines in a layout by month or day."""
+    spark = t.orders.sparkSession
+    home = f"{checkpoint_folder(spark)}/layout-{uuid.uuid4()}"
+    layout.write_orders(t, f"{home}/orders", by)
+    layout.write_lines(t, f"{home}/lines", by)
+    return replace(
+        t,
+        orders=layout.read_rows(spark, f"{home}/orders", t.orders.schema, by),
+        order_items=layout.read_rows(spark, f"{home}/lines", t.order_items.schema, by),
+    )
+
+
+def pruned_monthly_revenue(t: Tables) -> DataFrame:
+    """The trailing quarter from a layout by month: only its folders are read."""
+    return insights.recent_monthly_revenue(_laid_out(t, layout.MONTH), AS_OF)
+
+
+def pruned_tier_revenue(t: Tables) -> DataFrame:
+    """Revenue of some tiers in the second quarters of a calendar, from their folders."""
+    laid = _laid_out(t, layout.MONTH)
+    months = laid.orders.select(layout.MONTH).distinct().filter(F.quarter(layout.MONTH) == 2)
+    some = layout.in_tiers(layout.in_periods(laid.orders, months), TIERS)
+    return (
+        valid_orders(laid.with_orders(some))
+        .groupBy(F.col(layout.TIER).alias("customer_tier"))
+        .agg(F.count("*").alias("orders_count"), F.sum("total_amount").alias("revenue"))
+    )
+
+
+def _maintained(t: Tables) -> maintained.FeatureViews:
+    """Views published over all but the last year, and again over everything."""
+    spark = t.orders.sparkSession
+    home = f"{checkpoint_folder(spark)}/views-{uuid.uuid4()}"
+    views = maintained.FeatureViews(spark, f"{home}/views", layout.MONTH)
+    last_year = F.col("order_date") >= F.lit(LAST_YEAR)
+    for part in (t.with_orders(t.orders.filter(~last_year)), t.with_orders(t.orders.filter(last_year))):
+        layout.write_orders(part, f"{home}/orders", layout.MONTH, "append")
+        layout.write_lines(part, f"{home}/lines", layout.MONTH, "append")
+        views.publish(
+            replace(
+                t,
+                orders=layout.read_rows(spark, f"{home}/orders", t.orders.schema),
+                order_items=layout.read_rows(spark, f"{home}/lines", t.order_items.schema),
+            )
+        )
+    return views
+
+
+def maintained_sales_features(t: Tables) -> DataFrame:
+    return _maintained(t).daily_features()
+
+
+def maintained_churn_features(t: Tables) -> DataFrame:
+    return _maintained(t).customer_features(t.customers, AS_OF)
+
+
+def profit_quartile_limits(t: Tables) -> DataFrame:
+    return selection.quantile_limits(products.product_performance(t), "total_profit")
+
+
+def churn_scaled_inputs(t: Tables) -> DataFrame:
+    """The model's inputs standardised over all customers."""
+    inputs = churn.churn_model_inputs(features(t))
+    scaled = scaling.fit_scaling(inputs, churn.MODEL_COLUMNS).apply(inputs)
+    scaled = rounded(scaled, **dict.fromkeys(churn.MODEL_COLUMNS, 6))
+    return scaled.withColumns({c: F.col(c) + 0.0 for c in churn.MODEL_COLUMNS})  # no -0.0
+
+
 def sql_over_views(t: Tables) -> DataFrame:
     """Lifetime value by tier, asked in SQL of the registered feature view."""
     views.register_views(t, AS_OF)
@@ -234,6 +318,13 @@ def sql_queries() -> dict[str, Query]:
             sales.daily_sales(t, ["payment_method"]), ["payment_method"]
         ),
         "appended_customers": appended_customers,
+        "appended_once": appended_once,
+        "pruned_monthly_revenue": pruned_monthly_revenue,
+        "pruned_tier_revenue": pruned_tier_revenue,
+        "maintained_sales_features": maintained_sales_features,
+        "maintained_churn_features": maintained_churn_features,
+        "profit_quartile_limits": profit_quartile_limits,
+        "churn_scaled_inputs": churn_scaled_inputs,
         "sql_over_views": sql_over_views,
     }
     runs = {name: over_tables(operator) for name, operator in operators.items()}
