@@ -1,6 +1,7 @@
 """Document quality by co-training two views.
 
-The text view sees which words a document has; the page view sees its language, source,
+The text view sees which words a document has, scaled by how unevenly the labelled classes
+use them; the page view sees its language, source,
 length and layout figures. Both start from the same labelled documents. In every round
 each view scores every unlabelled document and hands its most confident guesses, of
 either class, to the other view as training rows. At the end each view's margin is
@@ -22,19 +23,29 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import FeatureHasher, HashingTF, StandardScaler, VectorAssembler
+from pyspark.ml.feature import (
+    ElementwiseProduct,
+    FeatureHasher,
+    HashingTF,
+    StandardScaler,
+    VectorAssembler,
+)
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shoplytic.llm.common import stored, text_or_empty
+from shoplytic.llm.common import release_shuffles, stored, text_or_empty
 
 LABELLED = 10_000
 ROUNDS, GIVEN = 3, 0.1
 # Every word is a feature of the text view, by its hash.
 WORD_FEATURES = 1 << 18
+SMOOTHING, LEAST_SCALE = 5.0, 0.2
 HELD_OUT = 5
 VIEWS = ("text", "page")
 LAYOUT = (
@@ -93,10 +104,31 @@ def with_raw_views(docs: DataFrame, *carried: str) -> DataFrame:
     )
 
 
-def _word_features() -> HashingTF:
-    return HashingTF(
-        inputCol="tokens", outputCol="text", binary=True, numFeatures=WORD_FEATURES
+def _word_features(labelled: DataFrame) -> PipelineModel:
+    """Hashed words, each scaled by how unevenly the classes of ``labelled`` use it.
+
+    ``labelled`` has ``tokens`` and ``good``. The scale is the log-ratio of the classes'
+    shares, both smoothed towards the base rate, plus a constant: a word that no label has
+    seen is still a feature, and one that a few documents have by chance weighs little next
+    to one that many documents of one class have.
+    """
+    hashed = HashingTF(
+        inputCol="tokens", outputCol="hashed", binary=True, numFeatures=WORD_FEATURES
+    )
+    sums = hashed.transform(labelled).groupBy("good").agg(
+        F.count("*").alias("rows"), Summarizer.sum(F.col("hashed")).alias("words")
+    )
+    # Two vectors as long as the hash space.
+    rows, words = {}, {}
+    for row in sums.collect():
+        rows[row["good"]], words[row["good"]] = row["rows"], row["words"].toArray()
+    whole = sum(rows.values())
+    shares = [np.log((words[c] + SMOOTHING * rows[c] / whole) / rows[c]) for c in (0.0, 1.0)]
+    scale = LEAST_SCALE + np.abs(shares[0] - shares[1])
+    scaled = ElementwiseProduct(
+        scalingVec=Vectors.dense(scale), inputCol="hashed", outputCol="text"
     )
+    return PipelineModel(stages=[hashed, scaled])
 
 
 def _page_features(raw: DataFrame) -> PipelineModel:
@@ -116,7 +148,7 @@ def _fit(rows: DataFrame, view: str) -> LogisticRegressionModel:
         labelCol="good",
         weightCol="weight",
         maxIter=25,
-        regParam=1e-4 if view == "text" else 1e-3,
+        regParam=1e-3,
         standardization=False,
         aggregationDepth=2,
     ).fit(rows)
@@ -168,8 +200,10 @@ def fit_views(
         overall = there.agg(F.avg("good")).first()[0]
         return 1.0 if overall is None else float(overall)
 
-    words = _word_features()
-    raw = stored(words.transform(with_raw_views(docs)).drop("tokens"), "views", "zstd")
+    known_docs = docs.join(F.broadcast(known), "doc_id").filter(train)
+    words = _word_features(with_raw_views(known_docs, "good").select("tokens", "good"))
+    raw = words.transform(with_raw_views(docs)).drop("tokens", "hashed")
+    raw = stored(raw, "views", "zstd")
     features = {"text": words, "page": _page_features(raw)}
     rows = features["page"].transform(raw).select("doc_id", *VIEWS)
     seen = rows.join(F.broadcast(known), "doc_id")
@@ -180,6 +214,8 @@ def fit_views(
     models = {}
     for turn in range(rounds):
         for view in VIEWS:
+            # What the fit before has left on the driver goes first.
+            release_shuffles(docs.sparkSession)
             more = guesses[view]
             models[view] = _fit(taught if more is None else taught.union(more), view)
         if turn == rounds - 1:
@@ -191,7 +227,9 @@ def fit_views(
     held = seen.filter(part == 0)
     calibration = {view: _calibrated(_margin(models[view], held, "margin")) for view in VIEWS}
     seen_odds = seen.agg(F.log(F.sum("good") + 1) - F.log(F.sum(1 - F.col("good")) + 1))
-    return CoTrained(features, models, calibration, float(seen_odds.first()[0]))
+    prior = float(seen_odds.first()[0])
+    seen.unpersist()
+    return CoTrained(features, models, calibration, prior)
 
 
 def confident(

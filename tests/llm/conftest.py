@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import pytest
 
-from shoplytic.llm import components, katz, near_duplicates
+from shoplytic.llm import components, cotraining, katz, near_duplicates
 
 DOCUMENT = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -10,7 +10,7 @@ DOCUMENT = "doc_id long, text string, lang string, source string, n_chars long"
 @pytest.fixture(autouse=True)
 def no_waiting(monkeypatch):
     """Small tests need not wait until shuffle files are gone."""
-    for module in (components, katz, near_duplicates):
+    for module in (components, cotraining, katz, near_duplicates):
         monkeypatch.setattr(module, "release_shuffles", lambda spark: None)
 
 
