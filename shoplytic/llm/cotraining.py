@@ -45,7 +45,7 @@ LABELLED = 10_000
 ROUNDS, GIVEN = 3, 0.1
 # Every word is a feature of the text view, by its hash.
 WORD_FEATURES = 1 << 18
-SMOOTHING, LEAST_SCALE = 5.0, 0.2
+SMOOTHING, LEAST_SCALE = 4.0, 0.2
 HELD_OUT = 5
 VIEWS = ("text", "page")
 LAYOUT = (
