@@ -11,7 +11,9 @@ Words are compared unchanged. Documents with the same words are one class named
 least doc_id; another member of it has every window repeated. A null text has no words;
 texts below W words have no window. A row without doc_id is no source of repeats and
 keeps all its words, as no id is smaller or larger than null. Rows that repeat both id
-and words are one document; of rows with one id and other words none is smaller.
+and text are one document; of rows with one id and other texts none is smaller, and each is
+cut for itself. A row is known by its id and a 64-bit hash of its text. Texts may have any
+length; a task holds one batch of them.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from pyspark.sql import functions as F
 
 from shoplytic.llm.common import (
     broadcast_if_small,
+    key_filter,
+    maybe_among,
     split_words,
     stored,
     window_hashes,
@@ -37,32 +41,40 @@ WINDOW = 50
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
 
 
+# What a row is known by.
+ROW = ("doc_id", "part")
+
+
+def known_rows(docs: DataFrame) -> DataFrame:
+    """``doc_id, part, text``."""
+    return docs.select("doc_id", F.xxhash64("text").alias("part"), "text")
+
+
 def _words_of(text: str | None) -> list[bytes]:
     # bytes.split knows ASCII white space only.
     return (text or "").encode().split()
 
 
 def word_keys(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``doc_id, words_key, n_words``: 128 bits equal for texts of the same words."""
+    """``doc_id, part, words_key, n_words``: 128 bits equal for texts of the same words."""
     kind = dict(docs.dtypes)["doc_id"]
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
-            found = [_words_of(t.as_py()) for t in batch.column(1)]
+            found = [_words_of(t.as_py()) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0),
+                    batch.column("doc_id"),
+                    batch.column("part"),
                     pa.array([xxhash.xxh3_128_digest(b" ".join(w)) for w in found], pa.binary()),
                     pa.array([len(w) for w in found], pa.int64()),
                 ],
-                names=["doc_id", "words_key", "n_words"],
+                names=["doc_id", "part", "words_key", "n_words"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(
-        keyed, f"doc_id {kind}, words_key binary, n_words long"
-    )
+    return docs.mapInArrow(keyed, f"doc_id {kind}, part long, words_key binary, n_words long")
 
 
 def _doc_hashes(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
@@ -81,7 +93,7 @@ def _anchors(hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def anchors(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``hash, doc_id`` for every distinct anchor of every text."""
+    """``hash, doc_id, part`` for every distinct anchor of every text."""
     kind = dict(docs.dtypes)["doc_id"]
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,28 +102,31 @@ def anchors(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             rows = np.repeat(np.arange(len(found)), [len(f) for f in found])
             values = np.concatenate([*found, np.empty(0, np.uint64)]).astype(np.uint64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(values.view(np.int64)), batch.column("doc_id").take(pa.array(rows))],
-                names=["hash", "doc_id"],
+                [
+                    pa.array(values.view(np.int64)),
+                    *(batch.column(c).take(pa.array(rows)) for c in ROW),
+                ],
+                names=["hash", *ROW],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(hashed, f"hash long, doc_id {kind}")
+    return docs.mapInArrow(hashed, f"hash long, doc_id {kind}, part long")
 
 
 def shared_anchors(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``doc_id, hits``: the anchors of each document that another document has too."""
+    """``doc_id, part, hits``: the anchors of each document that another document has too."""
     found = anchors(docs, window)
     shared = pinned(found.groupBy("hash").count().filter("count > 1").select("hash"))
     return (
         found.join(broadcast_if_small(shared, 4_000_000), "hash")
-        .groupBy("doc_id")
+        .groupBy(*ROW)
         .agg(F.collect_set("hash").alias("hits"))
     )
 
 
 def extended_windows(texts: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``doc_id, starts, hashes``: the windows of ``window`` words round each hit.
+    """``doc_id, part, starts, hashes``: the windows of ``window`` words round each hit.
 
-    ``texts`` has ``doc_id, text, hits``. A window is hashed if a hit begins in its
+    ``texts`` has ``doc_id, part, text, hits``. A window is hashed if a hit begins in its
     first PERIOD words; every passage of ``window`` words shared with another document
     is among them.
     """
@@ -135,30 +150,31 @@ def extended_windows(texts: DataFrame, window: int = WINDOW) -> DataFrame:
                 hashes.append(full[inside].view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id"),
+                    *(batch.column(c) for c in ROW),
                     pa.array(starts, pa.list_(pa.int32())),
                     pa.array(hashes, pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "starts", "hashes"],
+                names=[*ROW, "starts", "hashes"],
             )
 
-    return texts.select("doc_id", "text", "hits").mapInArrow(
-        extended, f"doc_id {kind}, starts array<int>, hashes array<long>"
+    return texts.select(*ROW, "text", "hits").mapInArrow(
+        extended, f"doc_id {kind}, part long, starts array<int>, hashes array<long>"
     )
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``doc_id, starts``: where windows begin whose words a smaller doc_id has too.
+    """``doc_id, part, starts``: where windows begin whose words a smaller doc_id has too.
 
     The least document of each window hash is found by partial minima; the windows of
     more than one document are then joined with it. A passage in a third of all
     documents is one group of the first step and is split by AQE in the second.
     """
-    hits = shared_anchors(docs, window)
-    texts = docs.select("doc_id", "text").join(hits, "doc_id")
-    windows = stored(extended_windows(texts, window), "windows")
-    each = windows.select("doc_id", F.explode(F.arrays_zip("starts", "hashes")).alias("w")).select(
-        "doc_id", F.col("w.starts").alias("start"), F.col("w.hashes").alias("hash")
+    hits = stored(shared_anchors(docs, window), "hits")
+    # Texts without a hit stay where they are.
+    texts = maybe_among(docs, pinned(key_filter(hits, ROW)), ROW, "maybe").filter("maybe")
+    windows = stored(extended_windows(texts.join(hits, [*ROW]), window), "windows")
+    each = windows.select(*ROW, F.explode(F.arrays_zip("starts", "hashes")).alias("w")).select(
+        *ROW, F.col("w.starts").alias("start"), F.col("w.hashes").alias("hash")
     )
     least = each.groupBy("hash").agg(
         F.min("doc_id").alias("least"), F.max("doc_id").alias("most")
@@ -167,30 +183,35 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return (
         each.join(least, "hash")
         .filter(F.col("least") < F.col("doc_id"))
-        .groupBy("doc_id")
+        .groupBy(*ROW)
         .agg(F.sort_array(F.collect_set("start")).alias("starts"))
     )
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_text``, one row per document."""
-    docs = docs.select("doc_id", "text")
+    docs = known_rows(docs)
     keyed = pinned(word_keys(docs, window))
     long = keyed.filter((F.col("n_words") >= window) & F.col("doc_id").isNotNull())
     least = pinned(long.groupBy("words_key").agg(F.min("doc_id").alias("least")))
     copies = pinned(
         long.join(least, "words_key")
         .filter(F.col("doc_id") != F.col("least"))
-        .select("doc_id")
+        .select(*ROW, F.lit(True).alias("copy"))
         .distinct()
     )
-    # A doc_id that also names the first of a class stays in; that only costs time.
-    copies = copies.join(least.select(F.col("least").alias("doc_id")), "doc_id", "left_anti")
-    copies = broadcast_if_small(pinned(copies))
-    firsts = docs.filter(F.col("doc_id").isNotNull()).join(copies, "doc_id", "left_anti")
+    firsts = docs.filter(F.col("doc_id").isNotNull()).join(
+        broadcast_if_small(copies.select(*ROW)), [*ROW], "left_anti"
+    )
     starts = repeated_windows(firsts, window)
-    joined = docs.join(starts, "doc_id", "left").join(
-        copies.withColumn("copy", F.lit(True)), "doc_id", "left"
+    # Only texts that lose words move to meet what they lose.
+    gone = stored(starts.join(copies, [*ROW], "full"), "gone")
+    marked = maybe_among(docs, pinned(key_filter(gone, ROW)), ROW, "maybe")
+    nothing = marked.filter("NOT maybe").select(
+        *ROW, "text", F.lit(None).cast("array<int>").alias("starts"), F.lit(False).alias("copy")
+    )
+    joined = nothing.unionByName(
+        marked.filter("maybe").join(gone, [*ROW], "left").select(*nothing.columns)
     )
     kind = dict(docs.dtypes)["doc_id"]
 

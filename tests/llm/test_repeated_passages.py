@@ -73,6 +73,30 @@ def test_odd_rows(spark, documents, odd_texts):
     assert passages.remove_repeats(documents([])).collect() == []
 
 
+def test_different_texts_under_one_id(spark, documents):
+    def words(name, count):
+        return " ".join(f"{name}{k}" for k in range(count))
+
+    shared, own = words("p", 80), words("q", 80)
+    rows = [(1, shared), (2, words("x", 30) + " " + shared), (2, own), (2, shared), (3, own)]
+    # A third of all rows under one id, each text with a passage of its own or of another row.
+    rows += [(9, words(f"a{i}x", 60) + " " + (shared if i % 2 else own)) for i in range(40)]
+    rows += [(9, own), (9, own), (None, own)]
+    assert _got(passages.remove_repeats(documents(rows))) == _expected(rows)
+
+
+def test_key_filter_lets_every_key_pass(spark):
+    from shoplytic.llm.common import key_filter, maybe_among
+
+    rows = spark.range(-3000, 3000).selectExpr("CASE WHEN id != 7 THEN id END AS a", "id % 5 AS b")
+    keys = rows.filter("b = 2 OR a IS NULL")
+    found = maybe_among(rows, key_filter(keys, ["a", "b"]), ["a", "b"], "maybe")
+    assert found.columns == ["a", "b", "maybe"] and found.count() == 6000
+    assert found.filter("(b = 2 OR a IS NULL) AND NOT maybe").count() == 0
+    # 1,200 of 2^27 bits are set.
+    assert found.filter("maybe").count() < keys.count() + 20
+
+
 def test_cover_has_every_difference():
     cover = passages.COVER
     found = {(a - b) % passages.PERIOD for a in cover for b in cover}
