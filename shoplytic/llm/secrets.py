@@ -4,10 +4,11 @@ Three patterns of plain secrets are reported as they match. Runs of base64 or he
 blocks and dotted tokens are candidates only: each is decoded and must parse to its last
 byte, as a private key (DER with lengths that nest exactly, or the OpenSSH layout) or as
 a signed token (a JSON header that names an algorithm, a JSON body and a signature of
-the length that the algorithm makes).
+the length that the algorithm makes). Candidates may be wrapped over lines, have their line
+ends escaped, stand behind a path, begin at either nibble, or be base64 of a PEM block.
 
-A null text is an empty text and has no spans. Texts are scanned whole, row by row, so
-repeated and very long ones need nothing special.
+A null text is an empty text and has no spans. Texts are scanned whole, row by row, in time
+that grows with their length; repeated rows are scanned again.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import base64
 import binascii
 import json
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -32,14 +34,25 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 12, 18, 16
 
-TOKEN = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-PEM = re.compile(r"-----BEGIN ([A-Z ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
+# Candidates are whole runs of their characters: no pattern starts again inside a run.
+DOTTED = re.compile(r"[A-Za-z0-9_.-]+")
+PEM = re.compile(
+    r"-----BEGIN ([A-Z ]*PRIVATE KEY)-----((?:[A-Za-z0-9+/=\s:,]|-(?!-)|\\[nr])+)-----END \1-----"
+)
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
-ANY_HEX = re.compile(r"(?:[0-9A-Fa-f]{2}){24,}")
+WRAPPED = re.compile(
+    r"(?<![A-Za-z0-9+/])(?:[A-Za-z0-9+/]{40,}[\x20\t]*\r?\n[\x20\t]*)+[A-Za-z0-9+/]+={0,2}"
+)
+ANY_HEX = re.compile(r"[0-9A-Fa-f]{48,}")
+PEM_HEADER = re.compile(r"\s*((?:[A-Za-z-]+:\x20[^\n]*\n)+)")
+CIPHER = re.compile(r"DEK-Info:\x20[A-Z0-9-]+,((?:[0-9A-F]{2}){8,16})\s*$", re.MULTILINE)
 # Bytes of a signature; RSA and PS signatures are as long as the key: 128 bytes or more.
 SIGNATURE_BYTES = {
     "HS256": 32, "HS384": 48, "HS512": 64, "ES256": 64, "ES384": 96, "ES512": 132, "EDDSA": 64,
+    "ES256K": 64,
 }
+# The object identifiers of password-based encryption begin so.
+PBE_OIDS = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
 OPENSSH_MAGIC = b"openssh-key-v1\0"
 SEQUENCE, INTEGER, OCTETS, OBJECT_ID = 0x30, 0x02, 0x04, 0x06
 
@@ -88,11 +101,18 @@ def private_key(data: bytes) -> str | None:
     if outer is None or len(outer) != 1:
         return None
     fields = der_items(outer[0][1])
+    if fields and [tag for tag, _ in fields] == [SEQUENCE, OCTETS]:
+        algorithm = der_items(fields[0][1])
+        by_password = bool(algorithm) and algorithm[0][0] == OBJECT_ID
+        by_password = by_password and algorithm[0][1].startswith(PBE_OIDS)
+        return "pkcs8-encrypted" if by_password and len(fields[1][1]) % 8 == 0 else None
     if not fields or fields[0][0] != INTEGER or len(fields[0][1]) != 1:
         return None
     tags, version = [tag for tag, _ in fields], fields[0][1][0]
     if version == 0 and len(tags) == 9 and set(tags) == {INTEGER}:
         return "pkcs1" if len(fields[1][1]) >= 64 else None
+    if version == 0 and len(tags) == 6 and set(tags) == {INTEGER}:
+        return "dsa" if len(fields[1][1]) >= 64 else None
     if version == 1 and tags[1:2] == [OCTETS] and 16 <= len(fields[1][1]) <= 66:
         rest = [der_items(content) for _, content in fields[2:]]
         return "sec1" if all(r is not None for r in rest) else None
@@ -157,28 +177,120 @@ def _base_spans(text: str) -> Iterator[tuple[str, int, int, str]]:
             yield "hex", m.start(), m.end(), ""
 
 
+def _tokens(run: str) -> Iterator[tuple[int, int, str]]:
+    """Signed tokens among the dotted parts of a run: three parts on end, each tried once."""
+    parts, at = run.split("."), 0
+    starts = []
+    for part in parts:
+        starts.append(at)
+        at += len(part) + 1
+    i = 0
+    while i + 2 < len(parts):
+        begin = parts[i].find("eyJ")
+        found = None
+        if begin >= 0 and parts[i + 1]:
+            found = signed_token(".".join((parts[i][begin:], parts[i + 1], parts[i + 2])))
+        if found:
+            yield starts[i] + begin, starts[i + 2] + len(parts[i + 2]), found
+        i += 3 if found else 1
+
+
+def pem_key(body: str) -> str | None:
+    """The layout of the key between the lines of a PEM block."""
+    body = body.replace("\\r", "").replace("\\n", "\n")
+    header = PEM_HEADER.match(body)
+    data = _decoded("".join(body[header.end() if header else 0 :].split()))
+    if not data:
+        return None
+    if header and "ENCRYPTED" in header[1]:
+        # What is encrypted has no structure but whole blocks; its cipher must be named.
+        cipher = CIPHER.search(header[1])
+        return "encrypted" if cipher and len(data) % (len(cipher[1]) // 2) == 0 else None
+    return private_key(data)
+
+
+def _whole_length(start: str) -> int | None:
+    """How many bytes a key has whose base64 begins so, by its outermost DER length."""
+    data = _decoded(start)
+    if not data or len(data) < 6 or data[0] != SEQUENCE:
+        return None
+    if data[1] < 0x80:
+        return 2 + data[1]
+    count = data[1] & 0x7F
+    return 2 + count + int.from_bytes(data[2 : 2 + count], "big") if 1 <= count <= 4 else None
+
+
+def _base64_key(run: str) -> tuple[int, str] | None:
+    """Where in the run a key begins that fills the rest of it, and its layout."""
+    begins = [0] + [m.end() for m in re.finditer("/(?=M)", run)]
+    bare = len(run.rstrip("="))
+    for begin in begins:
+        # A path before the key may look like base64: the outer length must fit the rest.
+        if begin and _whole_length(run[begin : begin + 8]) != (bare - begin) * 3 // 4:
+            continue
+        data = _decoded(run[begin:])
+        if data is None:
+            continue
+        if data.startswith(b"-----BEGIN"):
+            block = PEM.fullmatch(data.decode("latin-1").strip())
+            if block and (found := pem_key(block[2])):
+                return begin, f"pem-{found}"
+        elif found := private_key(data):
+            return begin, found
+    return None
+
+
+def _hex_key(run: str) -> tuple[int, int, str] | None:
+    """A key from either nibble of the run to its end, or to one before."""
+    for begin in (0, 1):
+        end = len(run) - (len(run) - begin) % 2
+        if found := private_key(bytes.fromhex(run[begin:end])):
+            return begin, end, found
+    return None
+
+
 def _confirmed_spans(text: str) -> Iterator[tuple[str, int, int, str]]:
     inside: list[tuple[int, int]] = []
     if "eyJ" in text:
-        for m in TOKEN.finditer(text):
-            if found := signed_token(m[0]):
-                inside.append(m.span())
-                yield "token", *m.span(), found
+        for run in DOTTED.finditer(text):
+            if "eyJ" in run[0]:
+                for start, end, found in _tokens(run[0]):
+                    inside.append((run.start() + start, run.start() + end))
+                    yield "token", *inside[-1], found
     if "-----BEGIN" in text:
         for m in PEM.finditer(text):
-            data = _decoded("".join(m[2].split()))
-            if data is not None and (found := private_key(data)):
+            if found := pem_key(m[2]):
                 inside.append(m.span())
                 yield "pem", *m.span(), found
+    inside.sort()
+    wrapped = [*_wrapped_keys(text, inside)] if "\n" in text else []
+    for begin, end, found in wrapped:
+        yield "key_base64", begin, end, found
+    inside = sorted(inside + [(begin, end) for begin, end, _ in wrapped])
     for m in BASE64.finditer(text):
-        if any(a <= m.start() and m.end() <= b for a, b in inside):
-            continue
-        data = _decoded(m[0])
-        if data is not None and (found := private_key(data)):
-            yield "key_base64", *m.span(), found
+        if not _within(m, inside) and (key := _base64_key(m[0])):
+            yield "key_base64", m.start() + key[0], m.end(), key[1]
     for m in ANY_HEX.finditer(text):
-        if found := private_key(bytes.fromhex(m[0])):
-            yield "key_hex", *m.span(), found
+        if key := _hex_key(m[0]):
+            yield "key_hex", m.start() + key[0], m.start() + key[1], key[2]
+
+
+def _wrapped_keys(text: str, inside: list[tuple[int, int]]) -> Iterator[tuple[int, int, str]]:
+    """Keys over several lines; the last line may be other text."""
+    for m in WRAPPED.finditer(text):
+        if _within(m, inside):
+            continue
+        for end in (m.end(), m.start() + len(m[0].rpartition("\n")[0].rstrip())):
+            data = _decoded("".join(text[m.start() : end].split()))
+            if data is not None and (found := private_key(data)):
+                yield m.start(), end, found
+                break
+
+
+def _within(m: re.Match, spans: list[tuple[int, int]]) -> bool:
+    """Whether the match lies in one of the spans, which are sorted and don't overlap."""
+    at = bisect_right(spans, (m.start(), len(m.string))) - 1
+    return at >= 0 and m.end() <= spans[at][1]
 
 
 def find_spans(text: str | None) -> list[tuple[str, int, int, str]]:
