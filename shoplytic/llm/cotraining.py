@@ -43,8 +43,9 @@ from shoplytic.llm.common import release_shuffles, stored, text_or_empty
 
 LABELLED = 10_000
 ROUNDS, GIVEN = 3, 0.1
-# Every word is a feature of the text view, by its hash.
-WORD_FEATURES = 1 << 18
+# Every word is a feature of the text view, by its hash. A vector stays just below 2 MB: the
+# driver's collector lays out larger arrays by whole megabytes.
+WORD_FEATURES = 262_000
 SMOOTHING, LEAST_SCALE = 4.0, 0.2
 HELD_OUT = 5
 VIEWS = ("text", "page")
@@ -220,6 +221,7 @@ def fit_views(
             models[view] = _fit(taught if more is None else taught.union(more), view)
         if turn == rounds - 1:
             break
+        release_shuffles(docs.sparkSession)
         sure = confident(rows, marks, models, given * (turn + 1), shares[0])
         sure = stored(sure, f"guesses-{turn}", "zstd")
         for view, other in (VIEWS, VIEWS[::-1]):
