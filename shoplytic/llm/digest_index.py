@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from shoplytic.llm.common import text_or_empty
 from shoplytic.session import pinned
+from shoplytic.sources.ledger import Ledger
 
 
 def text_digests(docs: DataFrame) -> DataFrame:
@@ -30,8 +31,18 @@ class DigestIndex:
     """The digests seen so far, each with the document that stays (``keep_id``)."""
 
     def __init__(self, spark: SparkSession, folder: str, buckets: int = 32) -> None:
-        """Open the index in ``folder``, or begin an empty one there."""
+        """Open the index in ``folder``, or begin an empty one there.
+
+        The bucket count is kept beside the data; opening it with another one is refused, as
+        digests would then be looked for in the wrong buckets.
+        """
         self.spark, self.folder, self.buckets = spark, folder, buckets
+        settings = Ledger(spark, f"{folder.rstrip('/')}/_settings", "buckets int")
+        known = settings.entries().agg(F.min("buckets")).first()[0]
+        if known is None:
+            settings.add(buckets)
+        elif known != buckets:
+            raise ValueError(f"the index in {folder} has {known} buckets, not {buckets}")
         self.table = f"digest_index_{hashlib.sha256(folder.encode()).hexdigest()[:16]}"
         spark.sql(
             f"CREATE TABLE IF NOT EXISTS {self.table} (digest BINARY, keep_id BIGINT) "

@@ -4,6 +4,7 @@ import hashlib
 import uuid
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from shoplytic.llm.digest_index import DigestIndex, text_digests
@@ -62,3 +63,16 @@ def test_empty(spark, documents, tmp_path):
     digests = text_digests(documents([]))
     index.append(digests)
     assert index.assign(digests).collect() == []
+
+
+def test_another_bucket_count_is_refused(spark, documents, tmp_path):
+    folder = f"{tmp_path}/index-{uuid.uuid4().hex}"
+    index = DigestIndex(spark, folder, buckets=4)
+    index.append(text_digests(documents([(1, "a"), (2, "b")])))
+    # The catalog forgets the table, as a later session does.
+    spark.sql(f"DROP TABLE {index.table}")
+    with pytest.raises(ValueError, match="4 buckets"):
+        DigestIndex(spark, folder, buckets=8)
+    again = DigestIndex(spark, folder, buckets=4)
+    again.append(text_digests(documents([(5, "a"), (6, "c")])))
+    assert sorted(r["keep_id"] for r in again.rows().collect()) == [1, 2, 6]
