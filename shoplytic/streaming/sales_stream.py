@@ -38,7 +38,8 @@ def day_customers(orders: DataFrame, late_by: str = "1 day") -> DataFrame:
 
     A row comes out whenever it changed, so the newest day is there at once and a
     busy customer's orders are partial sums. Orders later than ``late_by`` behind
-    the newest are dropped; ``late_rows`` counts them.
+    the newest are dropped and counted (``late_days.DropCounter``); ``late_days.DaySales``
+    keeps them.
     """
     return (
         orders.withWatermark("order_ts", late_by)
@@ -88,8 +89,7 @@ def daily_sales(days: DataFrame) -> DataFrame:
 def running_totals(orders: DataFrame) -> DataFrame:
     """Order count, revenue and mean value so far; for complete mode.
 
-    Distinct customers are estimated: an exact count would keep every customer. Where
-    it must be exact, count them in the rows of ``day_customers``.
+    Distinct customers are estimated; ``running.exact_totals`` counts them exactly.
     """
     totals = orders.groupBy().agg(
         F.count("*").alias("total_orders"),
@@ -108,7 +108,10 @@ def running_totals(orders: DataFrame) -> DataFrame:
 def first_arrivals(
     orders: DataFrame, key: Sequence[str] = ("order_id",), late_by: str = "1 day"
 ) -> DataFrame:
-    """The stream without repeated keys that arrive within the watermark."""
+    """The stream without repeated keys that arrive within the watermark.
+
+    ``insert_once.insert_stream`` drops repeats however late they come.
+    """
     return orders.withWatermark("order_ts", late_by).dropDuplicatesWithinWatermark(list(key))
 
 
@@ -155,7 +158,11 @@ def latest(written: DataFrame) -> DataFrame:
 
 
 def late_rows(query: StreamingQuery) -> int:
-    """Rows that state operators dropped as later than the watermark, so far."""
+    """Rows that state operators dropped as later than the watermark, in this run.
+
+    Spark keeps the last hundred progress reports of a query; ``late_days.DropCounter``
+    counts over all batches and runs.
+    """
     return sum(
         operator.numRowsDroppedByWatermark
         for progress in query.recentProgress

@@ -17,6 +17,7 @@ from shoplytic.functions.dates import weekday_from_monday
 from shoplytic.functions.labels import risk_level
 from shoplytic.functions.numeric import clamp
 from shoplytic.operators import churn, sales
+from shoplytic.operators.ranking import in_sorted_slices
 from shoplytic.plans import churn as churn_model
 from shoplytic.plans import forecast as forecast_model
 from shoplytic.session import checkpoint_folder
@@ -89,25 +90,31 @@ def forecast_calendar(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _rank_auc(scored: DataFrame) -> DataFrame:
-    """AUC by ranks: the share of (churned, kept) pairs in the right order, ties half."""
+    """AUC by ranks: the share of (churned, kept) pairs in the right order, ties half.
+
+    Ranks are numbered in range slices; one row per slice gives the offsets.
+    """
     tied = scored.groupBy("p").agg(
         F.count_if(F.col("y") == 1).alias("churned"), F.count_if(F.col("y") == 0).alias("kept")
     )
-    below = F.coalesce(
-        F.sum("kept").over(
-            Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-        ),
-        F.lit(0),
+    sliced = in_sorted_slices(tied, F.col("p").asc())
+    earlier_slices = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sliced.groupBy("_slice").agg(F.sum("kept").alias("rows")).select(
+        "_slice", F.coalesce(F.sum("rows").over(earlier_slices), F.lit(0)).alias("offset")
     )
+    in_slice = Window.partitionBy("_slice").orderBy("_row")
+    earlier = in_slice.rowsBetween(Window.unboundedPreceding, -1)
+    below = F.col("offset") + F.coalesce(F.sum("kept").over(earlier), F.lit(0))
+    ranked = sliced.join(offsets, "_slice").withColumn("below", below)
     pairs = F.sum("churned") * F.sum("kept")
     wins = F.sum(F.col("churned") * (F.col("below") + F.col("kept") / 2))
-    return tied.withColumn("below", below).agg((wins / pairs).alias("auc"))
+    return ranked.agg((wins / pairs).alias("auc"))
 
 
 def model_checks(spark: SparkSession, folder: str) -> DataFrame:
     """``check_name, holds`` for statements that every fitted churn model must meet."""
     features = churn.churn_features_at_horizon(tpch.load(spark, folder), tpch.AS_OF)
-    model, metrics = churn_model.train_churn(features, trees=10)
+    model, metrics = churn_model.train_churn(features)
     given = {r["metric"]: r["value"] for r in metrics.collect()}
     split = churn_model.stratified_split(
         churn.churn_ratios(features), "is_churned", "customer_id"

@@ -48,7 +48,6 @@ BRAND = "Brand#1"
 # Months from the first day that orders can have to AS_OF.
 LAST_PERIOD = 79
 LAST_YEAR = dt.date(2000, 8, 1)
-SERIES_TREES = 20
 TIER_RATES = {"BUILDING": "0.05", "MACHINERY": "0.10"}
 TIER_SHARES = {"BUILDING": 20, "MACHINERY": 30}
 
@@ -346,17 +345,29 @@ def _plain_stream(stream: Query) -> Query:
     return lambda spark, folder: plain(stream(spark, folder))
 
 
-# A model is trained once per session and folder and used by all its queries.
+# A model is trained once per session and state of the data, and used by all its queries.
 _models: dict[tuple, tuple[PipelineModel, DataFrame]] = {}
+MODEL_TABLES = ("customer", "orders", "lineitem")
 
 
 def forget_models() -> None:
-    """Train anew from here on, as after a change of the data."""
+    """Train anew from here on."""
     _models.clear()
 
 
+def _state(spark: SparkSession, folder: str) -> tuple:
+    """The files that models are trained on, with their sizes and times of change."""
+    files = []
+    for name in MODEL_TABLES:
+        about = tpch.table(spark, folder, name).select(
+            "_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time"
+        )
+        files += [tuple(r) for r in about.distinct().collect()]
+    return tuple(sorted(files))
+
+
 def _trained(kind: str, spark: SparkSession, folder: str, train) -> tuple:
-    key = (kind, spark.sparkContext.applicationId, folder)
+    key = (kind, spark.sparkContext.applicationId, _state(spark, folder))
     if key not in _models:
         _models[key] = train()
     return _models[key]
@@ -433,7 +444,7 @@ def _forecast_by_payment(spark: SparkSession, folder: str):
         "forecast-by-payment",
         spark,
         folder,
-        lambda: forecast_model.train_forecast(inputs, series, trees=SERIES_TREES),
+        lambda: forecast_model.train_forecast(inputs, series),
     )
     return model, metrics, inputs
 
