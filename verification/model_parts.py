@@ -6,6 +6,7 @@ Splits, risk reports and the forecast calendar do not depend on what a model lea
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
@@ -135,13 +136,19 @@ def model_checks(spark: SparkSession, folder: str) -> DataFrame:
     scored = churn_model.score_churn(model, features)
     again = churn_model.score_churn(churn_model.load_model(path), features)
     churned = features.filter("is_churned = 1").select("customer_id")
-    shares = churn_model.feature_importance(model).agg(F.sum("importance")).first()[0]
+    importances = churn_model.feature_importance(model)
+    shares = importances.agg(F.sum("importance")).first()[0]
+    ranked = churn_model.most_likely_first(scored).select("churn_probability", "customer_id")
     holds = {
         "auc is that of the rank formula": abs(auc - by_rank) < 1e-9
         and abs(given["auc_score"] - auc) < 1e-9,
         "accuracy is the share of hits": abs(given["test_accuracy"] - accuracy) < 1e-12,
         "classes weigh the same": max(weights) - min(weights) < 1e-6 * max(weights),
         "importances add up to one": abs(shares - 1) < 1e-9,
+        "importances fall": _in_order(importances, ("importance", -1), ("feature", 0)),
+        "the likeliest to leave come first": _in_order(
+            ranked, ("churn_probability", -1), ("customer_id", 1)
+        ),
         "a reloaded model scores the same": scored.exceptAll(again).isEmpty(),
         "nobody who has churned is scored": scored.join(churned, "customer_id").isEmpty(),
         "probabilities lie between 0 and 1": scored.filter(
@@ -151,6 +158,67 @@ def model_checks(spark: SparkSession, folder: str) -> DataFrame:
     return spark.createDataFrame(list(holds.items()), "check_name string, holds boolean")
 
 
+def _in_order(frame: DataFrame, *columns) -> bool:
+    """Whether the rows come as ``columns`` would sort them; one row per predicted customer."""
+    shown = frame.collect()
+    return shown == sorted(
+        shown, key=lambda r: tuple(sign * r[c] if sign else r[c] for c, sign in columns)
+    )
+
+
+def forecast_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """``check_name, holds`` for what must hold of every forecast, whatever was learned.
+
+    Errors are computed again from the model's own predictions, and the thirty steps from
+    inputs rebuilt out of the forecast itself.
+    """
+    inputs = sales.sales_features(sales.daily_sales(tpch.load(spark, folder)))
+    model, metrics = forecast_model.train_forecast(inputs)
+    given = metrics.first()
+    split = forecast_model.chronological_split(inputs).select(
+        "sales_date", "is_test", F.col("daily_revenue").cast("double").alias("daily_revenue"),
+        *[F.col(c).cast("double").alias(c) for c in forecast_model.FORECAST_COLUMNS],
+    )
+    predicted = model.transform(split).select(
+        "sales_date", "is_test", "daily_revenue", "prediction"
+    )
+    days = sorted(predicted.collect())  # a row per day of the calendar
+
+    def error(test: bool) -> float:
+        off = [abs(d.daily_revenue - d.prediction) / abs(d.daily_revenue) for d in days
+               if d.is_test == test]
+        return sum(off) / len(off)
+
+    steps = forecast_model.sales_forecast(model, inputs).orderBy("day_number").collect()
+    seed = inputs.orderBy(F.desc("sales_date")).first()
+    before = [float(seed["revenue_lag_1"]), *[s.predicted_revenue for s in steps]]
+    rebuilt = []
+    for number, step in enumerate(steps):
+        last = seed["sales_date"] + dt.timedelta(days=number)
+        row = {c: float(seed[c]) for c in forecast_model.FORECAST_COLUMNS}
+        if number:
+            row |= {"day_of_week": float(last.weekday()), "month": float(last.month)}
+            row["revenue_lag_1"] = before[number]
+        rebuilt.append((step.day_number, *row.values()))
+    columns = ", ".join(f"{c} double" for c in forecast_model.FORECAST_COLUMNS)
+    again = model.transform(spark.createDataFrame(rebuilt, f"day_number int, {columns}"))
+    again = {r.day_number: r.prediction for r in again.select("day_number", "prediction").collect()}
+    holds = {
+        "training error is that of the predictions": abs(given["train_mape"] - error(False)) < 1e-9,
+        "test error is that of the predictions": abs(given["test_mape"] - error(True)) < 1e-9,
+        "the newest day is compared": (given["last_actual"], given["last_predicted"])
+        == (days[-1].daily_revenue, days[-1].prediction),
+        "the earliest days train": [d.is_test for d in days] == sorted(d.is_test for d in days),
+        "every step feeds the next": all(
+            abs(s.predicted_revenue - again[s.day_number]) <= 1e-9 * abs(s.predicted_revenue)
+            for s in steps
+        ),
+        "thirty days on end": [s.forecast_date for s in steps]
+        == [seed["sales_date"] + dt.timedelta(days=n) for n in range(1, 31)],
+    }
+    return spark.createDataFrame(list(holds.items()), "check_name string, holds boolean")
+
+
 def part_queries() -> dict:
     found = (
         churn_split_counts,
@@ -162,6 +230,7 @@ def part_queries() -> dict:
         risk_points_by_formula,
         forecast_calendar,
         model_checks,
+        forecast_checks,
     )
     return {f.__name__: f for f in found}
 
@@ -186,10 +255,20 @@ leveled AS (
 )"""
     checks = (
         "auc is that of the rank formula", "accuracy is the share of hits",
-        "classes weigh the same", "importances add up to one",
-        "a reloaded model scores the same", "nobody who has churned is scored",
+        "classes weigh the same", "importances add up to one", "importances fall",
+        "the likeliest to leave come first", "a reloaded model scores the same", "nobody who has churned is scored",
         "probabilities lie between 0 and 1",
     )
+    forecasts = (
+        "training error is that of the predictions", "test error is that of the predictions",
+        "the newest day is compared", "the earliest days train", "every step feeds the next",
+        "thirty days on end",
+    )
+
+    def all_hold(names) -> str:
+        rows = ", ".join(f"('{name}', TRUE)" for name in names)
+        return f"SELECT * FROM (VALUES {rows}) AS checks(check_name, holds)"
+
     return {
         "churn_split_counts": f"""{line_features}
             SELECT is_churned, COUNT(*) AS customers,
@@ -228,7 +307,6 @@ leveled AS (
                    CAST(isodow(newest + CAST(n AS INTEGER)) - 1 AS INTEGER) AS day_of_week
             FROM (SELECT MAX(sales_date) AS newest FROM ({sales_features})),
                  range(1, 31) AS days(n)""",
-        "model_checks": "SELECT * FROM (VALUES "
-        + ", ".join(f"('{check}', TRUE)" for check in checks)
-        + ") AS checks(check_name, holds)",
+        "model_checks": all_hold(checks),
+        "forecast_checks": all_hold(forecasts),
     }
