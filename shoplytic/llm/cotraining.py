@@ -13,7 +13,8 @@ of their id. The features of all documents are stored once; every round takes it
 confidence thresholds over all unlabelled ones, and the fits run over all guesses beyond
 them. However many there are, they weigh half as much as the labels at most.
 
-Good means quality 1 and not toxic. A null text is empty; null language or source is a
+Good means quality 1 and not toxic. A text of any length is one row of features, a word
+counting once. A null text is empty; null language or source is a
 value of its own. Without labels of both classes there is nothing to learn: every
 document gets the share of good labels as its probability, 1 without any label.
 """

@@ -11,7 +11,8 @@ block is another pass, so no broadcast grows with the benchmark.
 
 Items without a word are skipped. A null text is empty. Repeated rows give repeated
 matches; an item that occurs more than once in a text is reported at its best place, the
-first of equals.
+first of equals. Texts may have any length, a task holds one batch of them; matches
+are sought in one scan of a text.
 """
 
 from __future__ import annotations

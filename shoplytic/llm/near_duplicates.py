@@ -14,10 +14,17 @@ that still holds several components, the members' signatures are compared inside
 block by block of a bounded number of members. Pairs of two components that agree in
 enough coordinates are then compared on their full sets, again inside tasks, and of the
 links found those that join something new come out. So no link that a bucket holds is
-lost, and a group of near copies costs rows in proportion to its size.
+lost but for what is said below, and a group of near copies costs rows in proportion to its
+size.
+
+Texts may have any length. Beyond about a million shingles a text fills the universe, so its
+signature tells it apart from other such texts less and less: they meet in common buckets and
+are compared on their full sets. The result is the same, the cost grows with their number.
 
 The chance that a pair at 0.75 shares no bucket is (1 - 0.75^4)^32, five in a million;
-that it agrees in fewer coordinates than asked for is one in a million.
+that it agrees in fewer coordinates than asked for is one in a million. Of coordinates 16 of
+20 bits are kept: for texts of a handful of shingles, about one pair in 20,000 is taken for
+one that met in an earlier band and is not compared.
 """
 
 from __future__ import annotations
