@@ -44,9 +44,9 @@ from shoplytic.llm.common import release_shuffles, stored, text_or_empty
 
 LABELLED = 10_000
 ROUNDS, GIVEN = 3, 0.1
-# Every word is a feature of the text view, by its hash. A vector stays just below 2 MB: the
+# Every word is a feature of the text view, by its hash. A vector stays just below 1 MB: the
 # driver's collector lays out larger arrays by whole megabytes.
-WORD_FEATURES = 262_000
+WORD_FEATURES = 131_000
 SMOOTHING, LEAST_SCALE = 4.0, 0.2
 HELD_OUT = 5
 VIEWS = ("text", "page")
