@@ -13,6 +13,8 @@ A null ``order_ts`` is a day of its own (null). Customers that are null are not
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,6 +35,20 @@ DAY = (
 )
 
 
+LISTING = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+
+
+@contextmanager
+def few_listing_tasks(spark: SparkSession) -> Iterator[None]:
+    """Folders are listed by four tasks per core; Spark's default is a task per folder."""
+    before = spark.conf.get(LISTING)
+    spark.conf.set(LISTING, str(4 * spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        spark.conf.set(LISTING, before)
+
+
 class DaySales:
     """The tables in ``folder``: ``on_time``, ``late`` and ``days``."""
 
@@ -52,7 +68,8 @@ class DaySales:
         loads += [also] if also else []
         if not loads:
             return self.spark.createDataFrame([], schema)
-        rows = self.spark.read.schema(schema).parquet(f"{self.folder}/{name}")
+        with few_listing_tasks(self.spark):
+            rows = self.spark.read.schema(schema).parquet(f"{self.folder}/{name}")
         return rows.filter(F.col("load").isin(loads))
 
     def partials(self, also: str | None = None) -> DataFrame:
@@ -80,10 +97,13 @@ class DaySales:
         over = F.lit(False)
         if so_far[0] is not None:
             over = F.coalesce(end <= F.lit(so_far[0] - self.late_by), F.lit(False))
+        tasks = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         for name, part in (("on_time", partial.filter(~over)), ("late", partial.filter(over))):
-            part.drop("newest").write.mode("overwrite").partitionBy("sales_date").parquet(
-                f"{self.folder}/{name}/load={load}"
-            )
+            # A task gets some days, or a part of a large one; else every task writes all days.
+            # With the number given, small batches keep their tasks: opening files takes longest.
+            part.drop("newest").repartitionByRange(tasks, "sales_date", "customer_id").write.mode(
+                "overwrite"
+            ).partitionBy("sales_date").parquet(f"{self.folder}/{name}/load={load}")
         # At most one per day of the calendar.
         days = [r[0] for r in partial.select("sales_date").distinct().collect()]
         touched = F.col("sales_date").isin([d for d in days if d is not None])

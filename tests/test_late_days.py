@@ -141,3 +141,16 @@ def test_drops_are_counted_over_all_sessions(spark, tmp_path):
     # Spark drops rows after partial sums: a dropped one may stand for several orders.
     again = late_days.DropCounter(spark, str(tmp_path / "drops"))
     assert 0 < again.dropped() <= lost and again.dropped() == counter.dropped()
+
+
+def test_a_batch_writes_few_files(many_slices, tmp_path):
+    tables = late_days.DaySales(many_slices, str(tmp_path))
+    tables.add(orders(many_slices, made(400)), "q-0")
+    files = tables.partials().select(F.input_file_name()).distinct().count()
+    assert 20 <= files <= 20 + 8
+    # Folders are listed by few tasks, and only meanwhile.
+    before = many_slices.conf.get(late_days.LISTING)
+    with late_days.few_listing_tasks(many_slices):
+        assert int(many_slices.conf.get(late_days.LISTING)) < 100
+    assert many_slices.conf.get(late_days.LISTING) == before
+    same(written(tables), batch_days(many_slices, made(400)))
