@@ -8,11 +8,15 @@ from __future__ import annotations
 
 import datetime as dt
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from shoplytic.functions.dates import weekday_from_monday
 from shoplytic.functions.labels import risk_level
@@ -21,7 +25,7 @@ from shoplytic.operators import churn, sales
 from shoplytic.operators.ranking import in_sorted_slices
 from shoplytic.plans import churn as churn_model
 from shoplytic.plans import forecast as forecast_model
-from shoplytic.session import checkpoint_folder
+from shoplytic.session import checkpoint_folder, pinned
 from shoplytic.sources import tpch
 
 
@@ -114,7 +118,8 @@ def _rank_auc(scored: DataFrame) -> DataFrame:
 
 def model_checks(spark: SparkSession, folder: str) -> DataFrame:
     """``check_name, holds`` for statements that every fitted churn model must meet."""
-    features = churn.churn_features_at_horizon(tpch.load(spark, folder), tpch.AS_OF)
+    # Read by the training and by every check.
+    features = pinned(churn.churn_features_at_horizon(tpch.load(spark, folder), tpch.AS_OF))
     model, metrics = churn_model.train_churn(features)
     given = {r["metric"]: r["value"] for r in metrics.collect()}
     split = churn_model.stratified_split(
@@ -124,6 +129,7 @@ def model_checks(spark: SparkSession, folder: str) -> DataFrame:
         F.col("is_churned").alias("y"), vector_to_array("probability")[1].alias("p"),
         F.col("rawPrediction"), (F.col("prediction") == F.col("is_churned")).alias("hit"),
     )
+    tested = pinned(tested)
     auc = BinaryClassificationEvaluator(labelCol="y", numBins=0).evaluate(tested)
     by_rank = _rank_auc(tested).first()["auc"]
     accuracy = tested.agg(F.avg(F.col("hit").cast("int"))).first()[0]
@@ -133,7 +139,7 @@ def model_checks(spark: SparkSession, folder: str) -> DataFrame:
     weights = [r["weight"] for r in weights.collect()]
     path = f"{checkpoint_folder(spark)}/model-{uuid.uuid4()}"
     churn_model.save_model(model, path)
-    scored = churn_model.score_churn(model, features)
+    scored = pinned(churn_model.score_churn(model, features))
     again = churn_model.score_churn(churn_model.load_model(path), features)
     churned = features.filter("is_churned = 1").select("customer_id")
     importances = churn_model.feature_importance(model)
@@ -159,11 +165,36 @@ def model_checks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _in_order(frame: DataFrame, *columns) -> bool:
-    """Whether the rows come as ``columns`` would sort them; one row per predicted customer."""
-    shown = frame.collect()
-    return shown == sorted(
-        shown, key=lambda r: tuple(sign * r[c] if sign else r[c] for c, sign in columns)
+    """Whether the rows come as ``columns`` would sort them.
+
+    Tasks compare their own rows; the first and last of every batch are compared here.
+    """
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId()
+        for number, batch in enumerate(batches):
+            rows = batch.to_pylist()
+            keys = [[sign * r[c] if sign else r[c] for c, sign in columns] for r in rows]
+            if rows:
+                row = {
+                    "task": task, "number": number, "first_row": rows[0], "last_row": rows[-1],
+                    "ordered": all(a <= b for a, b in zip(keys, keys[1:], strict=False)),
+                }
+                yield pa.RecordBatch.from_pylist([row], schema=arrow)
+
+    frame = frame.select(*[c for c, _ in columns])
+    row = ", ".join(f"{name}: {kind}" for name, kind in frame.dtypes)
+    schema = (
+        f"task int, number int, first_row struct<{row}>, last_row struct<{row}>, ordered boolean"
     )
+    arrow = to_arrow_schema(frame.sparkSession.createDataFrame([], schema).schema)
+    found = sorted(frame.mapInArrow(ends, schema).collect(), key=lambda r: (r.task, r.number))
+    keys = [
+        [sign * r[c] if sign else r[c] for c, sign in columns]
+        for batch in found
+        for r in (batch.first_row, batch.last_row)
+    ]
+    return all(r.ordered for r in found) and keys == sorted(keys)
 
 
 def forecast_checks(spark: SparkSession, folder: str) -> DataFrame:
