@@ -40,7 +40,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shoplytic.llm.common import release_shuffles, stored, text_or_empty
+from shoplytic.llm.common import broadcast_if_small, release_shuffles, stored, text_or_empty
 
 LABELLED = 10_000
 ROUNDS, GIVEN = 3, 0.1
@@ -49,6 +49,8 @@ ROUNDS, GIVEN = 3, 0.1
 WORD_FEATURES = 131_000
 SMOOTHING, LEAST_SCALE = 4.0, 0.2
 HELD_OUT = 5
+# Ids of labelled documents, 8 bytes each.
+MOST_BROADCAST = 4_000_000
 VIEWS = ("text", "page")
 LAYOUT = (
     "log_chars", "log_lines", "word_length", "line_words", "upper", "digits", "stops", "calls",
@@ -245,12 +247,14 @@ def confident(
     """``doc_id``, the views, and ``by_text, by_page``: 1 or 0 where that view is sure, or null.
 
     The surest ``share`` of all unlabelled rows of each view, both classes in the labels'
-    proportion. Only ids and margins, and then the sure rows, meet the labels.
+    proportion. The labels' ids are broadcast up to ``MOST_BROADCAST``, so that no vectors are
+    shuffled; beyond that ids and margins, and then the sure rows, meet them in a shuffle.
     """
+    known = broadcast_if_small(marks.select("doc_id"), MOST_BROADCAST)
     margins = [f"m_{view}" for view in VIEWS]
     for view, name in zip(VIEWS, margins, strict=True):
         rows = _margin(models[view], rows, name)
-    unlabelled = rows.select("doc_id", *margins).join(marks, "doc_id", "left_anti")
+    unlabelled = rows.select("doc_id", *margins).join(known, "doc_id", "left_anti")
     unlabelled = stored(unlabelled, "margins", "zstd")
     cuts = unlabelled.approxQuantile(margins, [share * (1 - good), 1 - share * good], 0.001)
     for view, name, cut in zip(VIEWS, margins, cuts, strict=True):
@@ -258,7 +262,7 @@ def confident(
         sure = F.when(F.col(name) >= high, 1.0).when(F.col(name) <= low, 0.0)
         rows = rows.withColumn(f"by_{view}", sure)
     rows = rows.filter(F.coalesce(*[f"by_{view}" for view in VIEWS]).isNotNull()).drop(*margins)
-    return rows.join(marks.select("doc_id"), "doc_id", "left_anti")
+    return rows.join(known, "doc_id", "left_anti")
 
 
 def _guesses(sure: DataFrame, view: str, labels: int, pool: int | None) -> DataFrame:

@@ -132,3 +132,30 @@ def test_a_rare_word_is_a_feature(spark):
     scored = cotraining.score(spark.createDataFrame(asked, DOCUMENT), views).orderBy("doc_id")
     plain, toxic = [r["p_text"] for r in scored.collect()]
     assert toxic < 0.95 * plain
+
+
+def test_vectors_are_not_shuffled_to_meet_the_labels(fitted, spark, monkeypatch):
+    docs, labels, truth, views = fitted
+    raw = cotraining.with_raw_views(docs)
+    for view in cotraining.VIEWS:
+        raw = views.features[view].transform(raw)
+    rows, marks = raw.select("doc_id", *cotraining.VIEWS), cotraining.label_marks(labels)
+
+    def found():
+        return cotraining.confident(rows, marks, views.models, 0.1, 0.7)
+
+    # As on large tables, where neither side is small by Spark's own limit.
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        sure = found()
+        plan = sure._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        ids = sorted(r[0] for r in sure.select("doc_id").collect())
+        assert ids and not set(ids) & {r[0] for r in marks.select("doc_id").collect()}
+        # Labels beyond the bound are met in a shuffle, with the same result.
+        monkeypatch.setattr(cotraining, "MOST_BROADCAST", 10)
+        assert sorted(r[0] for r in found().select("doc_id").collect()) == ids
+    finally:
+        spark.conf.set(key, before)
