@@ -171,6 +171,19 @@ def test_scoring_and_saving(trained, tmp_path):
     assert model_plan.score_churn(model, new_tier).count() == 160
 
 
+def test_forest_keeps_reached_nodes_and_grows_the_same_trees(trained):
+    features, _, _ = trained
+    split = model_plan.churn_ratios(features).withColumn("class_weight", F.lit(1.0)).coalesce(1)
+    tiers = model_plan.tier_codes().fit(split)
+    scaling = model_plan.fit_scaling(tiers.transform(split), model_plan.MODEL_COLUMNS)
+    plan = model_plan.churn_pipeline(tiers, scaling, trees=3)
+    forest = plan.getStages()[-1]
+    assert forest.getCacheNodeIds()
+    kept = plan.fit(split).stages[-1].toDebugString.split("\n", 1)[1]
+    forest.setCacheNodeIds(False)
+    assert plan.fit(split).stages[-1].toDebugString.split("\n", 1)[1] == kept
+
+
 def test_untrained(small):
     with pytest.raises(ValueError):
         model_plan.score_churn(None, small.customers)
