@@ -10,7 +10,7 @@ from __future__ import annotations
 import gc
 import time
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shoplytic.operators.key_filter import key_filter, maybe_among  # noqa: F401
 from shoplytic.session import checkpoint_folder
 
 # A word is a run of anything but ASCII white space.
@@ -74,38 +75,6 @@ def broadcast_if_small(keys: DataFrame, most_rows: int = BROADCAST_ROWS) -> Data
     return F.broadcast(keys) if keys.count() <= most_rows else keys
 
 
-# Bits of a key filter: 16 MB in all, whatever the number of keys.
-FILTER_BITS, BITMAP_BITS = 27, 15
-
-
-def _filter_bit(columns: Sequence[str]) -> Column:
-    return F.pmod(F.xxhash64(*columns), F.lit(1 << FILTER_BITS))
-
-
-def key_filter(keys: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """A bit per hash value of the keys, in at most 4,096 bitmaps of 4 KB."""
-    bit = _filter_bit(columns)
-    return keys.groupBy(F.shiftright(bit, BITMAP_BITS).alias("_bucket")).agg(
-        F.bitmap_construct_agg(bit.bitwiseAND((1 << BITMAP_BITS) - 1)).alias("_bits")
-    )
-
-
-def maybe_among(df: DataFrame, bitmaps: DataFrame, columns: Sequence[str], name: str) -> DataFrame:
-    """Add ``name``: false for rows whose key is surely not in the filter.
-
-    Where it is true an exact join has to follow; it moves the rows that pass only. A filter
-    that is too full lets more rows pass and changes nothing else.
-    """
-    bit = _filter_bit(columns)
-    place = bit.bitwiseAND((1 << BITMAP_BITS) - 1).cast("int")
-    byte = F.conv(F.hex(F.substring("_bits", F.shiftright(place, 3) + 1, F.lit(1))), 16, 10)
-    is_set = F.getbit(byte.cast("long"), place.bitwiseAND(7)) == 1
-    rows = df.withColumn("_bucket", F.shiftright(bit, BITMAP_BITS))
-    return rows.join(F.broadcast(bitmaps), "_bucket", "left").select(
-        *df.columns, F.coalesce(is_set, F.lit(False)).alias(name)
-    )
-
-
 def split_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
     """The words of every text on end, and where each text's words begin.
 

@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shoplytic.functions.dates import day, month_start
+from shoplytic.operators.key_filter import key_filter, maybe_among
 from shoplytic.schema import Tables
+from shoplytic.session import pinned
 
 MONTH, DAY, TIER = "order_month", "order_day", "order_tier"
 
@@ -46,7 +48,18 @@ def write_orders(t: Tables, path: str, by: str = MONTH, mode: str = "errorifexis
 def write_lines(t: Tables, path: str, by: str = DAY, mode: str = "errorifexists") -> None:
     """Write the lines of ``t.orders`` in folders of their order's day or month."""
     periods = t.orders.select("order_id", _period(by).alias(by))
-    _write(t.order_items.join(periods, "order_id"), path, [by], "order_id", mode)
+    lines = likely_lines(t.order_items, t.orders)
+    _write(lines.join(periods, "order_id"), path, [by], "order_id", mode)
+
+
+def likely_lines(lines: DataFrame, orders: DataFrame) -> DataFrame:
+    """All lines of ``orders`` and few others, so that a join moves little else.
+
+    An append holds the orders of some days; the lines of all others need not be shuffled.
+    """
+    filled = pinned(key_filter(orders.select("order_id"), ["order_id"]))
+    marked = maybe_among(lines, filled, ["order_id"], "_maybe")
+    return marked.filter("_maybe").drop("_maybe")
 
 
 def read_rows(spark: SparkSession, path: str, columns: T.StructType, by: str = MONTH) -> DataFrame:

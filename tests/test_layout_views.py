@@ -221,3 +221,14 @@ def test_views_before_any_publish(spark, tmp_path):
     views = Kept(spark, tmp_path).views()
     assert views.daily_features().collect() == []
     assert frame(spark, "orders", []).count() == 0
+
+
+def test_lines_of_other_orders_are_dropped_before_the_join(spark):
+    lines = spark.range(20_000).select((F.col("id") % 10_000).alias("order_id"), "id")
+    orders = spark.range(100).select(F.col("id").alias("order_id"))
+    orders = orders.union(orders).union(spark.sql("SELECT CAST(NULL AS LONG)"))
+    likely = layout.likely_lines(lines.union(spark.sql("SELECT NULL, -1L")), orders)
+    assert likely.columns == lines.columns
+    assert likely.join(orders.distinct(), "order_id").count() == 200
+    assert likely.count() < 220
+    assert layout.likely_lines(lines, orders.filter("false")).count() == 0
