@@ -8,6 +8,7 @@ never clash with its own.
 from __future__ import annotations
 
 import gc
+import re
 import time
 import uuid
 from collections.abc import Iterator
@@ -49,6 +50,16 @@ def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the ``stored`` tables that ``df`` reads, once nothing needs them any more."""
+    context = df.sparkSession.sparkContext
+    home = checkpoint_folder(df.sparkSession).rstrip("/")
+    for folder in {file.split("/")[-2] for file in df.inputFiles()}:
+        if re.fullmatch(r"[\w-]+-[0-9a-f]{32}", folder):
+            path = context._jvm.org.apache.hadoop.fs.Path(f"{home}/{folder}")
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 

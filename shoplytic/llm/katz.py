@@ -32,7 +32,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoplytic.llm.common import mixed, release_shuffles, split_words, stored, word_hashes
+from shoplytic.llm.common import (
+    discard,
+    mixed,
+    release_shuffles,
+    split_words,
+    stored,
+    word_hashes,
+)
 
 ORDER = 2
 BLOCK_TOKENS = 1 << 20
@@ -192,12 +199,18 @@ def _as_sent(table: pa.Table, **answers: np.ndarray) -> pa.Table:
     )
 
 
-def gram_counts(blocks: DataFrame, level: int, ranges: int) -> DataFrame:
+def count_kind(tokens: int) -> str:
+    """The narrowest type for counts of ``tokens`` tokens."""
+    return "int" if tokens < 1 << 31 else "long"
+
+
+def gram_counts(blocks: DataFrame, level: int, ranges: int, kind: str = "long") -> DataFrame:
     """``block, range, counts, owned``: training counts of a block's distinct n-grams.
 
     Every n-gram is owned by one of the blocks that have it, so sums over owned ones
-    take each n-gram once.
+    take each n-gram once. ``kind`` is the type of the counts.
     """
+    number = np.int32 if kind == "int" else np.int64
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -209,14 +222,14 @@ def gram_counts(blocks: DataFrame, level: int, ranges: int) -> DataFrame:
     def add_up(table: pa.Table) -> pa.Table:
         keys, sent = _flat(table.column("keys")), _flat(table.column("n"))
         _, first, index = np.unique(keys, return_index=True, return_inverse=True)
-        totals = np.bincount(index, weights=sent, minlength=len(first)).astype(np.int64)
+        totals = np.bincount(index, weights=sent, minlength=len(first)).astype(number)
         owned = np.zeros(len(keys), dtype=bool)
         owned[first] = True
         return _as_sent(table, counts=totals[index], owned=owned)
 
     sent = blocks.mapInArrow(send, "range int, block long, keys array<long>, n array<int>")
     return sent.groupBy("range").applyInArrow(
-        add_up, "block long, range int, counts array<long>, owned array<boolean>"
+        add_up, f"block long, range int, counts array<{kind}>, owned array<boolean>"
     )
 
 
@@ -289,6 +302,7 @@ class Model:
             own = np.flatnonzero(levels == level)
             part = answers.take(pa.array(own[np.argsort(ranges[own])]))
             self.counts.append(_flat(part.column("counts")))
+            # Only the order whose weights are looked for comes with its owners.
             self.owned.append(_flat(part.column("owned")))
             own = np.flatnonzero(levels == -level)
             part = answers.take(pa.array(own[np.argsort(ranges[own])]))
@@ -361,7 +375,7 @@ def backoff_weights(
             parts.append(
                 _pieces(
                     number, ranges, block.levels[level - 2].distinct,
-                    times=model.counts[level - 2], mass=mass.astype(float), lower=lower.astype(float),
+                    times=model.counts[level - 2].astype(np.int64), mass=mass.astype(float), lower=lower.astype(float),
                 )
             )
         return pa.concat_tables(parts) if parts else _nothing(sums)
@@ -398,13 +412,24 @@ def _nothing(schema: str) -> pa.Table:
     return to_arrow_schema(_parse_datatype_string(schema)).empty_table()
 
 
-def _answers(counts: list[DataFrame], weights: list[DataFrame]) -> DataFrame:
-    """All answers so far as one frame; level -k has the weights of n-grams of order k."""
-    none = {"counts": "array<long>", "owned": "array<boolean>", "weights": "array<double>"}
+def _answers(
+    counts: list[DataFrame], weights: list[DataFrame], owned: int | None = None
+) -> DataFrame:
+    """All answers so far as one frame; level -k has the weights of n-grams of order k.
+
+    Owners are moved only for the order ``owned``.
+    """
+    none = {
+        "counts": dict(counts[0].dtypes)["counts"],
+        "owned": "array<boolean>",
+        "weights": "array<double>",
+    }
 
     def whole(table: DataFrame, level: int) -> DataFrame:
         columns = [
-            F.col(n) if n in table.columns else F.lit(None).cast(kind).alias(n)
+            F.col(n)
+            if n in table.columns and (n != "owned" or level == owned)
+            else F.lit(None).cast(kind).alias(n)
             for n, kind in none.items()
         ]
         return table.select("block", "range", F.lit(level).alias("level"), *columns)
@@ -425,14 +450,17 @@ def score_documents(docs: DataFrame, order: int = ORDER) -> DataFrame:
     blocks = stored(token_blocks(docs), "token-blocks", "zstd")
     tokens = blocks.agg(F.sum(F.size("tokens"))).first()[0] or 0
     ranges = 1 << max(3, (int(tokens) // RANGE_TOKENS).bit_length())
+    number = count_kind(int(tokens))
     counts, weights, stats = [], [], []
     for level in range(1, order + 1):
-        counts.append(stored(gram_counts(blocks, level, ranges), f"counts-{level}", "zstd"))
+        counts.append(stored(gram_counts(blocks, level, ranges, number), f"counts-{level}", "zstd"))
         release_shuffles(spark)
         stats.append(statistics(counts[-1], blocks, level))
         if level > 1:
-            sums = backoff_weights(blocks, _answers(counts, weights), stats, level, ranges)
+            answers = _answers(counts, weights, level)
+            sums = backoff_weights(blocks, answers, stats, level, ranges)
             weights.append(stored(sums, f"weights-{level}", "zstd"))
+            discard(sums)
             release_shuffles(spark)
 
     def evaluate(left: pa.Table, right: pa.Table) -> pa.Table:

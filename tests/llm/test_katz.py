@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -11,6 +12,7 @@ import numpy as np
 import pytest
 
 from shoplytic.llm import katz, queries
+from shoplytic.llm.common import discard, stored
 
 
 def _brute_force(rows, order):
@@ -143,3 +145,25 @@ def test_query_backs_off_from_trigrams(spark, documents, tmp_path):
     expected, *_ = _brute_force(rows, 3)
     got = queries.op9_katz_backoff(spark, str(tmp_path)).orderBy("doc_id").collect()
     assert [r["score"] for r in got] == pytest.approx([e[5] for e in expected], abs=1e-9)
+
+
+def test_only_what_is_needed_is_kept_and_moved(spark, monkeypatch, tmp_path):
+    rows = [(i, "a b c a b d " * (i % 3 + 1)) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    dropped = []
+    monkeypatch.setattr(katz, "discard", lambda df: dropped.append(df.inputFiles()) or discard(df))
+    scored = katz.score_documents(docs, 3)
+    assert scored.count() == 12
+    folders = {f.rpartition("/")[0].removeprefix("file:") for files in dropped for f in files}
+    assert len(dropped) == 2 and len(folders) == 2
+    assert all("/sums-" in f and not os.path.exists(f) for f in folders)
+    blocks = stored(katz.token_blocks(docs), "blocks")
+    counts = [katz.gram_counts(blocks, k, 8, katz.count_kind(99)) for k in (1, 2)]
+    assert dict(counts[0].dtypes)["counts"] == "array<int>"
+    answers = katz._answers(counts, [], 2)
+    assert answers.filter("owned IS NOT NULL").select("level").distinct().collect() == [(2,)]
+    assert katz._answers(counts, []).filter("owned IS NOT NULL").count() == 0
+    assert katz.count_kind(1 << 31) == "long"
+    spark.range(3).write.parquet(str(tmp_path / "own"))
+    discard(spark.read.parquet(str(tmp_path / "own")))
+    assert spark.read.parquet(str(tmp_path / "own")).count() == 3
