@@ -30,20 +30,19 @@ def _key_array(keys: list[Key]) -> Column:
 def with_bin(df: DataFrame, key: str, bounds: list[Key], name: str) -> DataFrame:
     """Add how many of the sorted ``bounds`` are at or below ``key``: a binary search.
 
-    Each step is one projection, all of them within one code-generated stage.
+    The steps are folded within one expression, so a plan holds the bounds once and not once
+    a step: the driver keeps plans and their texts.
     """
-    df = df.withColumn(name, F.lit(0))
     if not bounds:
-        return df
+        return df.withColumn(name, F.lit(0))
     array = _key_array(bounds)
-    step = 1 << (len(bounds).bit_length() - 1)
-    while step:
-        beyond = F.get(array, F.col(name) + F.lit(step - 1)) <= F.col(key)
-        df = df.withColumn(
-            name, F.when(beyond, F.col(name) + F.lit(step)).otherwise(F.col(name))
-        )
-        step >>= 1
-    return df
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(bounds).bit_length()))])
+
+    def further(found: Column, step: Column) -> Column:
+        beyond = F.get(array, found + step - 1) <= F.col(key)
+        return F.when(beyond, found + step).otherwise(found)
+
+    return df.withColumn(name, F.aggregate(steps, F.lit(0), further))
 
 
 def _spread(low: Key, high: Key, count: int) -> set[Key]:

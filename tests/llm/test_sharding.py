@@ -112,3 +112,14 @@ def test_empty_and_no_python(spark, documents):
 
 def test_checksum_is_unsigned(spark, documents):
     assert documents([(1, "ab")]).select(F.crc32("text")).first()[0] == zlib.crc32(b"ab")
+
+
+def test_a_plan_holds_the_bounds_once(spark):
+    bounds = [(i, 7 * i) for i in range(-2000, 2001)]
+    rows = [(i, i) for i in range(-2100, 2100, 7)]
+    keyed = spark.createDataFrame([((a, b),) for a, b in rows], "key struct<a:long,b:long>")
+    binned = sharding.with_bin(keyed, "key", bounds, "bin")
+    assert binned.columns == ["key", "bin"]
+    assert binned._jdf.queryExecution().executedPlan().toString().count("[1000,7000]") == 1
+    found = {tuple(r["key"]): r["bin"] for r in binned.collect()}
+    assert found == {key: sum(bound <= key for bound in bounds) for key in rows}
