@@ -12,7 +12,9 @@ packed into blocks of about a million tokens instead. A block sends each distinc
 once, as sorted arrays of 64-bit hashes cut by key range; a key range adds up what all
 blocks sent and answers each block in its own order, so answers carry no keys. A hot
 n-gram is one entry per block. Answers are kept as partitioned tables in the shared
-folder: counts per order, and backoff weights per context.
+folder: counts per order, and backoff weights per context. A context that a single block
+has gets its weight there; of the others, those go through the key ranges whose weight can
+matter. Arrays travel packed: sorted keys as differences, and the bytes of all values by place.
 
 A null text is empty: one end token. A row without doc_id is a training row. Repeated
 rows count and are scored each. Without training rows every word is unseen and has
@@ -47,6 +49,8 @@ RANGE_TOKENS = 1 << 21
 # Counts above this are trusted as they are.
 LAST_DISCOUNTED = 5
 START, END = np.uint64(1), np.uint64(2)
+# Whether a context is in one block only, or in several and then whether its weight can matter.
+LOCAL, UNASKED, ASKED = 0, 1, 2
 
 
 def is_training(doc_id: str = "doc_id"):
@@ -112,6 +116,65 @@ def _one_list(values: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
 
+def _packed(values: np.ndarray) -> bytes:
+    """Numbers in few bytes: the first bytes of all, then the second ones, compressed."""
+    places = np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T
+    squeezed = pa.compress(places.tobytes(), codec="zstd", asbytes=True)
+    return len(values).to_bytes(4, "little") + squeezed
+
+
+def _unpacked(data: bytes, kind: type) -> np.ndarray:
+    size, width = int.from_bytes(data[:4], "little"), np.dtype(kind).itemsize
+    places = pa.decompress(data[4:], size * width, codec="zstd", asbytes=True)
+    places = np.frombuffer(places, np.uint8).reshape(width, size)
+    return np.ascontiguousarray(places.T).reshape(-1).view(kind)
+
+
+def _joined(column: pa.ChunkedArray, kind: type) -> np.ndarray:
+    """The packed arrays of all rows on end; null counts as empty."""
+    parts = [_unpacked(data, kind) for data in column.to_pylist() if data is not None]
+    return np.concatenate(parts) if parts else np.empty(0, kind)
+
+
+def _joined_keys(column: pa.ChunkedArray) -> np.ndarray:
+    parts = [np.cumsum(_unpacked(data, np.uint64)) for data in column.to_pylist()]
+    return np.concatenate(parts) if parts else np.empty(0, np.uint64)
+
+
+def _carried(table: DataFrame, **kinds: type) -> DataFrame:
+    """``table`` with the arrays named in ``kinds`` packed, before it is shuffled."""
+    schema = ", ".join(
+        f"`{name}` {'binary' if name in kinds else kind}" for name, kind in table.dtypes
+    )
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            # A block is large: its rows go on one by one.
+            for row in (batch.slice(i, 1) for i in range(len(batch))):
+                columns = dict(zip(row.schema.names, row.columns, strict=True))
+                for name, kind in kinds.items():
+                    cell = columns[name][0]
+                    data = None
+                    if cell.is_valid:
+                        values = cell.values.to_numpy(zero_copy_only=False)
+                        data = _packed(values.astype(kind, copy=False))
+                    columns[name] = pa.array([data], pa.binary())
+                yield pa.RecordBatch.from_pydict(columns)
+
+    return table.mapInArrow(pack, schema)
+
+
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sorted distinct keys, a place of each, and which of them each key is."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    new = np.ones(len(keys), dtype=bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+    index = np.empty(len(keys), dtype=np.int64)
+    index[order] = np.cumsum(new) - 1
+    return ordered[new], order[new], index
+
+
 @dataclass
 class Grams:
     """The n-grams of one order in a block; entry i of a token array is token i's."""
@@ -122,6 +185,7 @@ class Grams:
     first: np.ndarray  # a token that ends each distinct n-gram
     index: np.ndarray  # of the tokens among the distinct ones, -1 where not valid
     trained: np.ndarray  # how often each distinct one is in the block's training part
+    held: np.ndarray  # whether each distinct one is in the block's other part
 
 
 class Block:
@@ -144,19 +208,29 @@ class Block:
 
     def _grams(self, keys: np.ndarray, valid: np.ndarray) -> Grams:
         at = np.flatnonzero(valid)
-        distinct, first, inverse = np.unique(keys[at], return_index=True, return_inverse=True)
+        distinct, first, inverse = _distinct(keys[at])
         index = np.full(len(keys), -1)
         index[at] = inverse
         trained = np.bincount(inverse[self.training[at]], minlength=len(distinct))
-        return Grams(keys, valid, distinct, at[first], index, trained)
+        held = np.zeros(len(distinct), dtype=bool)
+        held[inverse[~self.training[at]]] = True
+        return Grams(keys, valid, distinct, at[first], index, trained, held)
+
+
+# Arrays of a block that are packed on the way, and those of an answer.
+CARRIED = {"tokens": np.int32, "words": np.int64}
+ANSWERED = {"counts": np.int64, "owned": np.uint8, "asked": np.uint8, "weights": np.float64}
 
 
 def _blocks_of(table: pa.Table, order: int) -> Iterator[tuple[int, Block, pa.Table]]:
     for i in range(len(table)):
-        row = {
-            name: table.column(name)[i].values.to_numpy(zero_copy_only=False)
-            for name in ("training", "sizes", "tokens", "words")
-        }
+        row = {}
+        for name, kind in {"training": bool, "sizes": np.int32, **CARRIED}.items():
+            cell = table.column(name)[i]
+            if pa.types.is_list(cell.type):
+                row[name] = cell.values.to_numpy(zero_copy_only=False)
+            else:
+                row[name] = _unpacked(cell.as_py(), kind)
         yield table.column("block")[i].as_py(), Block(row, order), table.slice(i, 1)
 
 
@@ -171,13 +245,18 @@ def _pieces(block: int, ranges: int, distinct: np.ndarray, **columns: np.ndarray
     """One row per key range that the block has keys of."""
     cuts = _by_range(distinct, ranges)
     used = np.flatnonzero(np.diff(cuts))
-    offsets = pa.array(np.append(cuts[used], len(distinct)).astype(np.int32))
-    lists = {"keys": distinct.view(np.int64), **columns}
+    parts = [slice(cuts[i], cuts[i + 1]) for i in used]
+    keys = [_packed(np.diff(distinct[part], prepend=np.uint64(0))) for part in parts]
     return pa.table(
         {
             "range": pa.array(used, pa.int32()),
             "block": pa.array(np.full(len(used), block), pa.int64()),
-            **{n: pa.ListArray.from_arrays(offsets, pa.array(v)) for n, v in lists.items()},
+            "size": pa.array(np.diff(cuts)[used], pa.int32()),
+            "keys": pa.array(keys, pa.binary()),
+            **{
+                n: pa.array([_packed(values[part]) for part in parts], pa.binary())
+                for n, values in columns.items()
+            },
         }
     )
 
@@ -188,7 +267,7 @@ def _flat(column: pa.ChunkedArray) -> np.ndarray:
 
 def _as_sent(table: pa.Table, **answers: np.ndarray) -> pa.Table:
     """The answers, cut into lists as the keys were."""
-    ends = np.cumsum(pc.list_value_length(table.column("keys")).to_numpy())
+    ends = np.cumsum(table.column("size").to_numpy())
     offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
     return pa.table(
         {
@@ -205,10 +284,13 @@ def count_kind(tokens: int) -> str:
 
 
 def gram_counts(blocks: DataFrame, level: int, ranges: int, kind: str = "long") -> DataFrame:
-    """``block, range, counts, owned``: training counts of a block's distinct n-grams.
+    """``block, range, counts, owned, asked``: training counts of a block's distinct n-grams.
 
     Every n-gram is owned by one of the blocks that have it, so sums over owned ones
-    take each n-gram once. ``kind`` is the type of the counts.
+    take each n-gram once. ``asked`` says of an n-gram as a context whether it is LOCAL, or
+    else whether its weight can matter: it stands in a text to be scored that is no training
+    text, or so often in training that all that follow it may be undiscounted. ``kind`` is
+    the type of the counts.
     """
     number = np.int32 if kind == "int" else np.int64
 
@@ -216,20 +298,28 @@ def gram_counts(blocks: DataFrame, level: int, ranges: int, kind: str = "long")
         for batch in batches:
             for number, block, _ in _blocks_of(pa.Table.from_batches([batch]), level):
                 grams = block.levels[level - 1]
-                sent = _pieces(number, ranges, grams.distinct, n=grams.trained.astype(np.int32))
+                seen = 2 * grams.trained.astype(np.int32) + grams.held
+                sent = _pieces(number, ranges, grams.distinct, seen=seen.astype(np.int32))
                 yield from sent.to_batches()
 
     def add_up(table: pa.Table) -> pa.Table:
-        keys, sent = _flat(table.column("keys")), _flat(table.column("n"))
-        _, first, index = np.unique(keys, return_index=True, return_inverse=True)
-        totals = np.bincount(index, weights=sent, minlength=len(first)).astype(number)
+        keys, seen = _joined_keys(table.column("keys")), _joined(table.column("seen"), np.int32)
+        _, first, index = _distinct(keys)
+        size = len(first)
+        totals = np.bincount(index, weights=seen >> 1, minlength=size).astype(number)
+        held = np.bincount(index, weights=seen & 1, minlength=size) > 0
+        shared = np.bincount(index, minlength=size) > 1
+        asked = np.where(shared, UNASKED, LOCAL).astype(np.int8)
+        asked[shared & (held | (totals > LAST_DISCOUNTED))] = ASKED
         owned = np.zeros(len(keys), dtype=bool)
         owned[first] = True
-        return _as_sent(table, counts=totals[index], owned=owned)
+        return _as_sent(table, counts=totals[index], owned=owned, asked=asked[index])
 
-    sent = blocks.mapInArrow(send, "range int, block long, keys array<long>, n array<int>")
+    sent = blocks.mapInArrow(send, "range int, block long, size int, keys binary, seen binary")
     return sent.groupBy("range").applyInArrow(
-        add_up, f"block long, range int, counts array<{kind}>, owned array<boolean>"
+        add_up,
+        f"block long, range int, counts array<{kind}>, owned array<boolean>, "
+        "asked array<tinyint>",
     )
 
 
@@ -295,18 +385,21 @@ class Model:
 
     def __init__(self, block: Block, answers: pa.Table, stats: list[Statistics]) -> None:
         self.block, self.stats = block, stats
-        self.counts, self.owned, self.weights = [], [], []
+        self.counts, self.owned, self.asked, self.weights = [], [], [], []
         levels = answers.column("level").to_numpy()
         ranges = answers.column("range").to_numpy()
-        for level in range(1, len(stats) + 1):
+
+        def answered(level: int, name: str) -> np.ndarray:
             own = np.flatnonzero(levels == level)
             part = answers.take(pa.array(own[np.argsort(ranges[own])]))
-            self.counts.append(_flat(part.column("counts")))
+            return _joined(part.column(name), ANSWERED[name])
+
+        for level in range(1, len(stats) + 1):
+            self.counts.append(answered(level, "counts"))
             # Only the order whose weights are looked for comes with its owners.
-            self.owned.append(_flat(part.column("owned")))
-            own = np.flatnonzero(levels == -level)
-            part = answers.take(pa.array(own[np.argsort(ranges[own])]))
-            self.weights.append(_flat(part.column("weights")) if len(own) else None)
+            self.owned.append(answered(level, "owned").view(bool))
+            self.asked.append(answered(level, "asked"))
+            self.weights.append(answered(-level, "weights"))
 
     def discounted(self, level: int) -> np.ndarray:
         """d * c of every distinct n-gram."""
@@ -333,7 +426,7 @@ class Model:
         grams, context = self.block.levels[level - 1], self.block.levels[level - 2]
         at = np.flatnonzero(grams.valid)
         before = context.index[at - 1]
-        weight = self.weights[level - 1][before]
+        weight = self._context_weights(level, below)[before]
         times = self.counts[level - 2][before]
         count = self.counts[level - 1][grams.index[at]]
         # A negative weight says that the context's count was raised by one.
@@ -344,11 +437,27 @@ class Model:
         result[at] = np.where(count > 0, seen, backed_off)
         return result
 
+    def _context_weights(self, level: int, below: np.ndarray) -> np.ndarray:
+        """The weight of every context: those asked for as answered, local ones from here."""
+        asked = self.asked[level - 2]
+        weights = np.ones(len(asked))
+        weights[asked == ASKED] = self.weights[level - 1]
+        # No other block has n-grams that begin with a local context.
+        mass, lower = self._sums(level, below, self.counts[level - 1] > 0)
+        local = asked == LOCAL
+        times = self.counts[level - 2][local].astype(np.float64)
+        weights[local] = backed_off_share(times, mass[local], lower[local])
+        return weights
+
     def context_sums(self, level: int) -> tuple[np.ndarray, np.ndarray]:
         """Per context of this block: discounted counts and lower-order chances, of owned."""
-        grams, context = self.block.levels[level - 1], self.block.levels[level - 2]
-        below = self.probabilities(level - 1)
         own = self.owned[level - 1] & (self.counts[level - 1] > 0)
+        return self._sums(level, self.probabilities(level - 1), own)
+
+    def _sums(
+        self, level: int, below: np.ndarray, own: np.ndarray
+    ) -> tuple[np.ndarray, np.ndarray]:
+        grams, context = self.block.levels[level - 1], self.block.levels[level - 2]
         last = grams.first[own]
         before = context.index[last - 1]
         size = len(context.distinct)
@@ -357,14 +466,24 @@ class Model:
         return mass, lower
 
 
+def backed_off_share(times: np.ndarray, mass: np.ndarray, lower: np.ndarray) -> np.ndarray:
+    """(1 - seen share) / (1 - lower-order chances of the seen), so that both add up to one.
+
+    It is negative where the context's count had to be raised by one because no discount
+    left anything to the unseen.
+    """
+    raised = (times > 0) & (mass >= times * (1 - 1e-12))
+    left = 1 - mass / np.maximum(times + raised, 1)
+    weights = left / np.maximum(1 - lower, 1e-12)
+    return np.where(raised, -weights, weights)
+
+
 def backoff_weights(
     blocks: DataFrame, answers: DataFrame, stats: list[Statistics], level: int, ranges: int
 ) -> DataFrame:
-    """``block, range, weights`` for the contexts of n-grams of order ``level``.
+    """``block, range, weights`` for the contexts asked for of n-grams of order ``level``.
 
-    weight = (1 - seen share) / (1 - lower-order chances of the seen), so that seen and
-    unseen add up to one. It is negative where the context's count had to be raised by
-    one because no discount left anything to the unseen.
+    ``answers`` and the blocks are packed before they meet.
     """
 
     def send(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -372,31 +491,29 @@ def backoff_weights(
         for number, block, _ in _blocks_of(left, level):
             model = Model(block, right, stats)
             mass, lower = model.context_sums(level)
+            asked = model.asked[level - 2] == ASKED
             parts.append(
                 _pieces(
-                    number, ranges, block.levels[level - 2].distinct,
-                    times=model.counts[level - 2].astype(np.int64), mass=mass.astype(float), lower=lower.astype(float),
+                    number, ranges, block.levels[level - 2].distinct[asked],
+                    times=model.counts[level - 2][asked], mass=mass[asked], lower=lower[asked],
                 )
             )
         return pa.concat_tables(parts) if parts else _nothing(sums)
 
     def add_up(table: pa.Table) -> pa.Table:
-        keys = _flat(table.column("keys"))
-        _, first, index = np.unique(keys, return_index=True, return_inverse=True)
+        _, first, index = _distinct(_joined_keys(table.column("keys")))
         size = len(first)
-        mass = np.bincount(index, weights=_flat(table.column("mass")), minlength=size)
-        lower = np.bincount(index, weights=_flat(table.column("lower")), minlength=size)
-        times = _flat(table.column("times"))[first].astype(np.float64)
-        raised = (times > 0) & (mass >= times * (1 - 1e-12))
-        left = 1 - mass / np.maximum(times + raised, 1)
-        weights = left / np.maximum(1 - lower, 1e-12)
-        return _as_sent(table, weights=np.where(raised, -weights, weights)[index])
+        mass = _joined(table.column("mass"), np.float64)
+        mass = np.bincount(index, weights=mass, minlength=size)
+        lower = _joined(table.column("lower"), np.float64)
+        lower = np.bincount(index, weights=lower, minlength=size)
+        times = _joined(table.column("times"), np.int64)[first].astype(np.float64)
+        return _as_sent(table, weights=backed_off_share(times, mass, lower)[index])
 
     sums = (
-        "range int, block long, keys array<long>, times array<long>, "
-        "mass array<double>, lower array<double>"
+        "range int, block long, size int, keys binary, times binary, mass binary, lower binary"
     )
-    sent = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(send, sums)
+    sent = _meeting(blocks, answers).applyInArrow(send, sums)
     # Stored, so that the blocks' shuffle is gone before the sums are shuffled.
     sent = stored(sent, f"sums-{level}", "zstd")
     release_shuffles(blocks.sparkSession)
@@ -405,6 +522,12 @@ def backoff_weights(
     )
 
 
+def _meeting(blocks: DataFrame, answers: DataFrame):
+    """Each block with what it was answered, both packed on the way."""
+    blocks, answers = _carried(blocks, **CARRIED), _carried(answers, **ANSWERED)
+    return blocks.groupBy("block").cogroup(answers.groupBy("block"))
+
+
 def _nothing(schema: str) -> pa.Table:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
@@ -417,18 +540,21 @@ def _answers(
 ) -> DataFrame:
     """All answers so far as one frame; level -k has the weights of n-grams of order k.
 
-    Owners are moved only for the order ``owned``.
+    Owners are moved only for the order ``owned``, and what is asked for below the last order.
     """
     none = {
         "counts": dict(counts[0].dtypes)["counts"],
         "owned": "array<boolean>",
+        "asked": "array<tinyint>",
         "weights": "array<double>",
     }
 
     def whole(table: DataFrame, level: int) -> DataFrame:
         columns = [
             F.col(n)
-            if n in table.columns and (n != "owned" or level == owned)
+            if n in table.columns
+            and (n != "owned" or level == owned)
+            and (n != "asked" or level < len(counts))
             else F.lit(None).cast(kind).alias(n)
             for n, kind in none.items()
         ]
@@ -475,7 +601,7 @@ def score_documents(docs: DataFrame, order: int = ORDER) -> DataFrame:
         "base_score double, score double"
     )
     answers = _answers(counts, weights)
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(evaluate, schema)
+    return _meeting(blocks, answers).applyInArrow(evaluate, schema)
 
 
 def _scored(block: Block, model: Model, row: pa.Table, order: int) -> pa.Table:

@@ -167,3 +167,46 @@ def test_only_what_is_needed_is_kept_and_moved(spark, monkeypatch, tmp_path):
     spark.range(3).write.parquet(str(tmp_path / "own"))
     discard(spark.read.parquet(str(tmp_path / "own")))
     assert spark.read.parquet(str(tmp_path / "own")).count() == 3
+
+
+def test_weights_go_through_ranges_only_where_they_matter(spark, documents, monkeypatch):
+    held_out = next(i for i in range(100, 200) if zlib.crc32(str(i).encode()) % 5 == 1)
+    train = [i for i in range(100) if zlib.crc32(str(i).encode()) % 5 != 1]
+    rows = [(train[0], "only here twice only here"), (train[1], "x y z"), (train[2], "x y v"),
+            (held_out, "x y u"), (train[3], "p q r"), (train[4], "p q s")]
+    rows += [(i, "often a") for i in train[5:13]]
+    blocks = stored(katz.token_blocks(documents(rows).coalesce(1), 1), "blocks")
+    asked = {}
+    for part in katz.gram_counts(blocks, 2, 8).collect():
+        asked.setdefault(part["block"], []).extend(zip([part["range"]] * 99, part["asked"]))
+    found = {}
+    for row in blocks.toArrow().to_batches():
+        for number, block, whole in katz._blocks_of(katz.pa.Table.from_batches([row]), 2):
+            flags = [flag for _, flag in sorted(asked[number], key=lambda pair: pair[0])]
+            found[whole.column("doc_ids")[0].as_py()[0]] = [
+                flags[i] for i in block.levels[1].index[block.levels[1].valid]
+            ]
+    local, unasked, sent = katz.LOCAL, katz.UNASKED, katz.ASKED
+    assert found[train[0]] == [local] * 6
+    # "<s> x", "x y", then "y z" and the end: a text that is not trained on has the first two.
+    assert found[train[1]] == [sent, sent, local, local]
+    assert found[train[3]] == [unasked, unasked, local, local]
+    assert found[train[5]] == [sent, sent, sent]
+    monkeypatch.setattr(katz, "BLOCK_TOKENS", 1)
+    whole = katz.token_blocks
+    monkeypatch.setattr(katz, "token_blocks", lambda docs: whole(docs, 1))
+    expected, *_ = _brute_force(rows, 3)
+    got = {r["doc_id"]: r for r in katz.score_documents(documents(rows), 3).collect()}
+    assert [got[i]["score"] for i, _ in rows] == pytest.approx([e[5] for e in expected], abs=1e-9)
+
+
+def test_arrays_travel_packed(spark):
+    keys = np.sort(np.random.default_rng(3).integers(0, 1 << 63, 1 << 16, dtype=np.uint64))
+    sent = katz._pieces(7, 8, keys, times=np.ones(len(keys), np.int64))
+    assert katz._joined_keys(sent.column("keys")).tolist() == keys.tolist()
+    assert katz._joined(sent.column("times"), np.int64).tolist() == [1] * len(keys)
+    assert sum(map(len, sent.column("keys").to_pylist())) < 6.9 * len(keys)
+    assert sum(map(len, sent.column("times").to_pylist())) < 0.1 * len(keys)
+    empty = katz._pieces(7, 8, keys[:0], times=np.empty(0, np.int64))
+    assert len(empty) == 0 and len(katz._joined_keys(empty.column("keys"))) == 0
+    assert katz._unpacked(katz._packed(keys[:0]), np.uint64).tolist() == []
