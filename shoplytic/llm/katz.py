@@ -12,9 +12,11 @@ packed into blocks of about a million tokens instead. A block sends each distinc
 once, as sorted arrays of 64-bit hashes cut by key range; a key range adds up what all
 blocks sent and answers each block in its own order, so answers carry no keys. A hot
 n-gram is one entry per block. Answers are kept as partitioned tables in the shared
-folder: counts per order, and backoff weights per context. A context that a single block
-has gets its weight there; of the others, those go through the key ranges whose weight can
-matter. Arrays travel packed: sorted keys as differences, and the bytes of all values by place.
+folder: counts per order, and backoff weights per context. From order 3 on, an n-gram whose
+context or last words no other block has is counted where it stands. A context that a single
+block has gets its weight there; of the others, those go through the key ranges whose weight
+can matter, and a block is answered those that its own tokens use. Arrays are stored and travel
+packed: sorted keys as differences, and the bytes of all values by place.
 
 A null text is empty: one end token. A row without doc_id is a training row. Repeated
 rows count and are scored each. Without training rows every word is unseen and has
@@ -23,7 +25,8 @@ probability one.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -31,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shoplytic.llm.common import (
@@ -42,10 +45,16 @@ from shoplytic.llm.common import (
     stored,
     word_hashes,
 )
+from shoplytic.session import checkpoint_folder
 
 ORDER = 2
 BLOCK_TOKENS = 1 << 20
+# Texts are split into words in slices of about so many bytes.
+SLICE_BYTES = 8 << 20
 RANGE_TOKENS = 1 << 21
+# What was sent is added up in so many turns; shuffle files of one are gone before the next.
+# Blocks meet their answers in as many.
+TURNS = 3
 # Counts above this are trusted as they are.
 LAST_DISCOUNTED = 5
 START, END = np.uint64(1), np.uint64(2)
@@ -74,9 +83,8 @@ def token_blocks(docs: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
-            starts, flat = split_words(pc.ascii_lower(batch.column("text")))
-            hashes = word_hashes(flat)
-            sizes = np.diff(starts) + 2
+            sizes, hashes = _hashed(batch.column("text"))
+            sizes += 2
             before = np.concatenate([[0], np.cumsum(sizes)])
             sequence = np.empty(before[-1], dtype=np.uint64)
             marks = np.ones(len(sequence), dtype=bool)
@@ -112,22 +120,58 @@ def token_blocks(docs: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame
     )
 
 
+def _give_back() -> None:
+    """Return freed memory to the machine: a worker that waits for its next task holds none."""
+    for pool in (pa.default_memory_pool(), pa.system_memory_pool()):
+        pool.release_unused()
+
+
+def _tidily(work: Callable[..., pa.Table], *tables: pa.Table) -> pa.Table:
+    found = work(*tables)
+    _give_back()
+    return found
+
+
+def _hashed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """How many words each text has, and the hashes of all, from one slice after the other."""
+    lengths = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    slices = np.cumsum(lengths, dtype=np.int64) // SLICE_BYTES
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(slices)) + 1, [len(texts)]])
+    sizes, hashes = [], []
+    for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+        starts, flat = split_words(pc.ascii_lower(texts.slice(low, high - low)))
+        sizes.append(np.diff(starts))
+        hashes.append(word_hashes(flat))
+        del flat
+        _give_back()
+    return np.concatenate(sizes), np.concatenate(hashes)
+
+
 def _one_list(values: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
 
 def _packed(values: np.ndarray) -> bytes:
-    """Numbers in few bytes: the first bytes of all, then the second ones, compressed."""
-    places = np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T
+    """Numbers in few bytes: the first bytes of all, then the second ones, compressed.
+
+    Places after the last that any number has a bit in are left out.
+    """
+    values = np.ascontiguousarray(values)
+    width = values.itemsize
+    highest = int(values.view(f"u{width}").max()) if len(values) else 0
+    used = -(-highest.bit_length() // 8)
+    places = values.view(np.uint8).reshape(-1, width).T[:used]
     squeezed = pa.compress(places.tobytes(), codec="zstd", asbytes=True)
-    return len(values).to_bytes(4, "little") + squeezed
+    return len(values).to_bytes(4, "little") + bytes([used]) + squeezed
 
 
 def _unpacked(data: bytes, kind: type) -> np.ndarray:
-    size, width = int.from_bytes(data[:4], "little"), np.dtype(kind).itemsize
-    places = pa.decompress(data[4:], size * width, codec="zstd", asbytes=True)
-    places = np.frombuffer(places, np.uint8).reshape(width, size)
-    return np.ascontiguousarray(places.T).reshape(-1).view(kind)
+    size, used = int.from_bytes(data[:4], "little"), data[4]
+    values = np.zeros((size, np.dtype(kind).itemsize), np.uint8)
+    if used:
+        places = pa.decompress(memoryview(data)[5:], size * used, codec="zstd", asbytes=True)
+        values[:, :used] = np.frombuffer(places, np.uint8).reshape(used, size).T
+    return values.reshape(-1).view(kind)
 
 
 def _joined(column: pa.ChunkedArray, kind: type) -> np.ndarray:
@@ -142,7 +186,7 @@ def _joined_keys(column: pa.ChunkedArray) -> np.ndarray:
 
 
 def _carried(table: DataFrame, **kinds: type) -> DataFrame:
-    """``table`` with the arrays named in ``kinds`` packed, before it is shuffled."""
+    """``table`` with the arrays named in ``kinds`` packed, before it is stored."""
     schema = ", ".join(
         f"`{name}` {'binary' if name in kinds else kind}" for name, kind in table.dtypes
     )
@@ -157,6 +201,8 @@ def _carried(table: DataFrame, **kinds: type) -> DataFrame:
                     data = None
                     if cell.is_valid:
                         values = cell.values.to_numpy(zero_copy_only=False)
+                        if name == "words":  # ascending among equally frequent ones
+                            values = np.diff(values, prepend=np.int64(0))
                         data = _packed(values.astype(kind, copy=False))
                     columns[name] = pa.array([data], pa.binary())
                 yield pa.RecordBatch.from_pydict(columns)
@@ -164,14 +210,43 @@ def _carried(table: DataFrame, **kinds: type) -> DataFrame:
     return table.mapInArrow(pack, schema)
 
 
+def _sorting(keys: np.ndarray) -> np.ndarray:
+    """The order that sorts hashes, of equal ones the first first.
+
+    The leading bits in which hashes differ are sorted with the places in the low bits,
+    several times as fast as places by keys. The few runs with different hashes that agree in
+    these bits are sorted once more.
+    """
+    if len(keys) < 2:
+        return np.arange(len(keys))
+    bits = np.uint64((len(keys) - 1).bit_length())
+    alike = np.uint64(64 - int(keys.min() ^ keys.max()).bit_length())
+    if alike == 64:
+        return np.arange(len(keys))
+    packed = (keys << alike) >> bits << bits
+    packed |= np.arange(len(keys), dtype=np.uint64)
+    packed.sort()
+    order = (packed & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    ordered = keys[order]
+    wrong = np.flatnonzero(ordered[1:] < ordered[:-1])
+    if len(wrong) > 1000:
+        return np.argsort(keys, kind="stable")
+    leading = packed >> bits
+    for head in np.unique(leading[wrong]):
+        run = slice(np.searchsorted(leading, head), np.searchsorted(leading, head, "right"))
+        order[run] = order[run][np.argsort(keys[order[run]], kind="stable")]
+    return order
+
+
 def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The sorted distinct keys, a place of each, and which of them each key is."""
-    order = np.argsort(keys)
+    """The sorted distinct keys, the first place of each, and which of them each key is."""
+    order = _sorting(keys)
     ordered = keys[order]
     new = np.ones(len(keys), dtype=bool)
     np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
-    index = np.empty(len(keys), dtype=np.int64)
-    index[order] = np.cumsum(new) - 1
+    kind = np.int32 if len(keys) < 1 << 31 else np.int64
+    index = np.empty(len(keys), dtype=kind)
+    index[order] = np.cumsum(new, dtype=kind) - kind(1)
     return ordered[new], order[new], index
 
 
@@ -179,7 +254,6 @@ def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 class Grams:
     """The n-grams of one order in a block; entry i of a token array is token i's."""
 
-    keys: np.ndarray  # of the tokens; where the text is too short for the order, 0
     valid: np.ndarray
     distinct: np.ndarray  # sorted
     first: np.ndarray  # a token that ends each distinct n-gram
@@ -194,27 +268,54 @@ class Block:
     def __init__(self, row: dict, order: int) -> None:
         self.sizes = row["sizes"]
         self.training = np.repeat(row["training"], self.sizes)
-        hashes = row["words"].view(np.uint64)[row["tokens"]]
-        ends = np.cumsum(self.sizes)
-        depth = np.arange(len(hashes)) - np.repeat(ends - self.sizes, self.sizes)
-        self.scored = depth > 0
-        self.levels: list[Grams] = []
-        keys = hashes
-        for level in range(1, order + 1):
-            if level > 1:
-                shifted = np.concatenate([keys[:1], keys[:-1]])
-                keys = mixed(shifted * np.uint64(0x9FB21C651E98DF25) ^ mixed(hashes))
-            self.levels.append(self._grams(keys, depth >= level - 1))
+        words = row["words"].view(np.uint64)
+        starts = np.cumsum(self.sizes) - self.sizes
+        self.scored = np.ones(len(self.training), dtype=bool)
+        self.scored[starts] = False
+        self.levels: list[Grams] = [self._words(words, row["tokens"])]
+        if order == 1:
+            return
+        keys = words[row["tokens"]]
+        spread, valid = mixed(words)[row["tokens"]], self.scored
+        for level in range(2, order + 1):
+            shifted = np.concatenate([keys[:1], keys[:-1]])
+            shifted *= np.uint64(0x9FB21C651E98DF25)
+            shifted ^= spread
+            keys = mixed(shifted)
+            if level > 2:
+                # The token before must end an n-gram that is one shorter.
+                valid = valid & np.concatenate([[False], valid[:-1]])
+            self.levels.append(self._grams(keys, valid))
+
+    def _words(self, words: np.ndarray, tokens: np.ndarray) -> Grams:
+        order = np.argsort(words)
+        rank = np.empty(len(words), dtype=np.int32)
+        rank[order] = np.arange(len(words), dtype=np.int32)
+        index = rank[tokens]
+        first = np.empty(len(words), dtype=np.int64)
+        first[index] = np.arange(len(index))
+        return self._counted(np.ones(len(index), dtype=bool), words[order], first, index, index)
 
     def _grams(self, keys: np.ndarray, valid: np.ndarray) -> Grams:
         at = np.flatnonzero(valid)
         distinct, first, inverse = _distinct(keys[at])
-        index = np.full(len(keys), -1)
+        index = np.full(len(keys), -1, dtype=inverse.dtype)
         index[at] = inverse
-        trained = np.bincount(inverse[self.training[at]], minlength=len(distinct))
+        return self._counted(valid, distinct, at[first], index, inverse)
+
+    def _counted(
+        self,
+        valid: np.ndarray,
+        distinct: np.ndarray,
+        first: np.ndarray,
+        index: np.ndarray,
+        inverse: np.ndarray,
+    ) -> Grams:
+        training = self.training[valid]
+        trained = np.bincount(inverse[training], minlength=len(distinct)).astype(np.int32)
         held = np.zeros(len(distinct), dtype=bool)
-        held[inverse[~self.training[at]]] = True
-        return Grams(keys, valid, distinct, at[first], index, trained, held)
+        held[inverse[~training]] = True
+        return Grams(valid, distinct, first, index, trained, held)
 
 
 # Arrays of a block that are packed on the way, and those of an answer.
@@ -231,6 +332,8 @@ def _blocks_of(table: pa.Table, order: int) -> Iterator[tuple[int, Block, pa.Tab
                 row[name] = cell.values.to_numpy(zero_copy_only=False)
             else:
                 row[name] = _unpacked(cell.as_py(), kind)
+                if name == "words":
+                    row[name] = np.cumsum(row[name])
         yield table.column("block")[i].as_py(), Block(row, order), table.slice(i, 1)
 
 
@@ -261,19 +364,25 @@ def _pieces(block: int, ranges: int, distinct: np.ndarray, **columns: np.ndarray
     )
 
 
-def _flat(column: pa.ChunkedArray) -> np.ndarray:
-    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False)
+def _as_sent(
+    table: pa.Table, sizes: np.ndarray, packed: bool, answers: dict[str, np.ndarray]
+) -> pa.Table:
+    """The answers, cut into a list of its size for each row that was sent."""
+    ends = np.cumsum(sizes)
 
+    def cut(values: np.ndarray, kind: type) -> pa.Array:
+        if packed:
+            values = values.astype(kind, copy=False)
+            parts = zip(ends - sizes, ends, strict=True)
+            return pa.array([_packed(values[low:high]) for low, high in parts], pa.binary())
+        offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
+        return pa.ListArray.from_arrays(offsets, pa.array(values))
 
-def _as_sent(table: pa.Table, **answers: np.ndarray) -> pa.Table:
-    """The answers, cut into lists as the keys were."""
-    ends = np.cumsum(table.column("size").to_numpy())
-    offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
     return pa.table(
         {
             "block": table.column("block"),
             "range": table.column("range"),
-            **{n: pa.ListArray.from_arrays(offsets, pa.array(v)) for n, v in answers.items()},
+            **{name: cut(values, ANSWERED[name]) for name, values in answers.items()},
         }
     )
 
@@ -283,25 +392,41 @@ def count_kind(tokens: int) -> str:
     return "int" if tokens < 1 << 31 else "long"
 
 
-def gram_counts(blocks: DataFrame, level: int, ranges: int, kind: str = "long") -> DataFrame:
+def gram_counts(
+    blocks: DataFrame, level: int, ranges: int, kind: str = "long", packed: bool = False
+) -> DataFrame:
     """``block, range, counts, owned, asked``: training counts of a block's distinct n-grams.
 
     Every n-gram is owned by one of the blocks that have it, so sums over owned ones
     take each n-gram once. ``asked`` says of an n-gram as a context whether it is LOCAL, or
     else whether its weight can matter: it stands in a text to be scored that is no training
     text, or so often in training that all that follow it may be undiscounted. ``kind`` is
-    the type of the counts.
+    the type of the counts; ``packed`` ones, like the other arrays, are bytes.
     """
-    number = np.int32 if kind == "int" else np.int64
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, block, _ in _blocks_of(pa.Table.from_batches([batch]), level):
-                grams = block.levels[level - 1]
-                seen = 2 * grams.trained.astype(np.int32) + grams.held
-                sent = _pieces(number, ranges, grams.distinct, seen=seen.astype(np.int32))
+                sent = _sent_grams(number, ranges, block.levels[level - 1])
+                del block
+                _give_back()
                 yield from sent.to_batches()
 
+    sent = blocks.mapInArrow(send, "range int, block long, size int, keys binary, seen binary")
+    return _added_up(sent, kind, packed)
+
+
+def _sent_grams(
+    number: int, ranges: int, grams: Grams, which: np.ndarray | slice = slice(None)
+) -> pa.Table:
+    seen = 2 * grams.trained[which] + grams.held[which]
+    return _pieces(number, ranges, grams.distinct[which], seen=seen.astype(np.int32))
+
+
+def _added_up(sent: DataFrame, kind: str, packed: bool) -> DataFrame:
+    """The answers to the n-grams that blocks sent."""
+    number = np.int32 if kind == "int" else np.int64
+
     def add_up(table: pa.Table) -> pa.Table:
         keys, seen = _joined_keys(table.column("keys")), _joined(table.column("seen"), np.int32)
         _, first, index = _distinct(keys)
@@ -313,13 +438,15 @@ def gram_counts(blocks: DataFrame, level: int, ranges: int, kind: str = "long")
         asked[shared & (held | (totals > LAST_DISCOUNTED))] = ASKED
         owned = np.zeros(len(keys), dtype=bool)
         owned[first] = True
-        return _as_sent(table, counts=totals[index], owned=owned, asked=asked[index])
+        sizes = table.column("size").to_numpy()
+        answers = {"counts": totals[index], "owned": owned, "asked": asked[index]}
+        return _as_sent(table, sizes, packed, answers)
 
-    sent = blocks.mapInArrow(send, "range int, block long, size int, keys binary, seen binary")
+    arrays = f"counts array<{kind}>, owned array<boolean>, asked array<tinyint>"
+    if packed:
+        arrays = "counts binary, owned binary, asked binary"
     return sent.groupBy("range").applyInArrow(
-        add_up,
-        f"block long, range int, counts array<{kind}>, owned array<boolean>, "
-        "asked array<tinyint>",
+        lambda table: _tidily(add_up, table), f"block long, range int, {arrays}"
     )
 
 
@@ -348,28 +475,38 @@ class Statistics:
         return factors
 
 
-def statistics(counts: DataFrame, blocks: DataFrame, level: int) -> Statistics:
-    """Sums over the owned n-grams; the start mark is no word."""
+def _tally(counts: np.ndarray) -> np.ndarray:
+    """Tokens, types, and how many n-grams have count 1, 2, ..."""
+    width, seen = LAST_DISCOUNTED + 1, counts[counts > 0]
+    small = np.bincount(seen[seen <= width], minlength=width + 1)[1:]
+    return np.array([seen.sum(), len(seen), *small], dtype=np.int64)
+
+
+def statistics(
+    counts: DataFrame, blocks: DataFrame, level: int, alone: DataFrame | None = None
+) -> Statistics:
+    """Sums over the owned n-grams of packed ``counts``; the start mark is no word.
+
+    ``alone`` has the tallies of n-grams that were counted where they stand.
+    """
     width = LAST_DISCOUNTED + 1
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            values = _flat(table.column("counts"))[_flat(table.column("owned"))]
-            values = values[values > 0]
-            small = np.bincount(values[values <= width], minlength=width + 1)[1:]
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "tokens": pa.array([int(values.sum())], pa.int64()),
-                    "types": pa.array([len(values)], pa.int64()),
-                    "small": _one_list(pa.array(small.astype(np.int64))),
-                }
-            )
-
-    parts = counts.mapInArrow(tally, "tokens long, types long, small array<long>")
-    row = parts.agg(
-        F.sum("tokens"), F.sum("types"), *[F.sum(F.col("small")[i]) for i in range(width)]
-    ).first()
+            sums = np.zeros(width + 2, dtype=np.int64)
+            for i in range(len(batch)):
+                values, owned = (
+                    _unpacked(batch.column(name)[i].as_py(), ANSWERED[name])
+                    for name in ("counts", "owned")
+                )
+                sums += _tally(values[owned.view(bool)])
+            _give_back()
+            yield pa.RecordBatch.from_pydict({"tally": _one_list(pa.array(sums))})
+
+    parts = counts.select("counts", "owned").mapInArrow(tally, "tally array<long>")
+    if alone is not None:
+        parts = parts.union(alone)
+    row = parts.agg(*[F.sum(F.col("tally")[i]) for i in range(width + 2)]).first()
     tokens, types, *small = [int(value or 0) for value in row]
     if level == 1:
         texts = F.size(F.filter("training", lambda t: t))
@@ -380,6 +517,15 @@ def statistics(counts: DataFrame, blocks: DataFrame, level: int) -> Statistics:
     return Statistics(tokens, types, tuple(small))
 
 
+def _placed(answers: np.ndarray, sent: np.ndarray, alone: np.ndarray) -> np.ndarray:
+    """What was answered where it was sent, else ``alone``; as it is if it didn't come along."""
+    if len(answers) != np.count_nonzero(sent):
+        return answers
+    whole = alone.astype(answers.dtype)
+    whole[sent] = answers
+    return whole
+
+
 class Model:
     """The counts and weights that one block was answered, ready to evaluate its tokens."""
 
@@ -395,12 +541,28 @@ class Model:
             return _joined(part.column(name), ANSWERED[name])
 
         for level in range(1, len(stats) + 1):
-            self.counts.append(answered(level, "counts"))
+            counts, asked = answered(level, "counts"), answered(level, "asked")
             # Only the order whose weights are looked for comes with its owners.
-            self.owned.append(answered(level, "owned").view(bool))
-            self.asked.append(answered(level, "asked"))
+            owned = answered(level, "owned").view(bool)
+            if level > 2:
+                sent, grams = self.sent(level), block.levels[level - 1]
+                counts = _placed(counts, sent, grams.trained)
+                owned = _placed(owned, sent, np.ones(len(sent), dtype=bool))
+                asked = _placed(asked, sent, np.full(len(sent), LOCAL))
+            self.counts.append(counts)
+            self.owned.append(owned)
+            self.asked.append(asked)
             self.weights.append(answered(-level, "weights"))
 
+    def sent(self, level: int) -> np.ndarray:
+        """Which n-grams of an order above 2 other blocks may have.
+
+        Where the context or the last words are in no other block, the n-gram isn't either.
+        """
+        grams, lower = self.block.levels[level - 1], self.block.levels[level - 2]
+        shared = self.asked[level - 2] != LOCAL
+        return shared[lower.index[grams.first - 1]] & shared[lower.index[grams.first]]
+
     def discounted(self, level: int) -> np.ndarray:
         """d * c of every distinct n-gram."""
         counts = self.counts[level - 1]
@@ -438,10 +600,10 @@ class Model:
         return result
 
     def _context_weights(self, level: int, below: np.ndarray) -> np.ndarray:
-        """The weight of every context: those asked for as answered, local ones from here."""
+        """The weight of every context: those used as answered, local ones from here."""
         asked = self.asked[level - 2]
         weights = np.ones(len(asked))
-        weights[asked == ASKED] = self.weights[level - 1]
+        weights[self.used(level)] = self.weights[level - 1]
         # No other block has n-grams that begin with a local context.
         mass, lower = self._sums(level, below, self.counts[level - 1] > 0)
         local = asked == LOCAL
@@ -449,6 +611,20 @@ class Model:
         weights[local] = backed_off_share(times, mass[local], lower[local])
         return weights
 
+    def used(self, level: int) -> np.ndarray:
+        """The shared contexts whose weight an n-gram of this block needs.
+
+        It is unseen, or nothing that follows here shows that a discount was taken, so that
+        the context's count may have been raised.
+        """
+        grams, context = self.block.levels[level - 1], self.block.levels[level - 2]
+        before, size = context.index[grams.first - 1], len(context.distinct)
+        counts, times = self.counts[level - 1], self.counts[level - 2]
+        unseen = np.bincount(before[counts == 0], minlength=size) > 0
+        taken = np.bincount(before, weights=counts - self.discounted(level), minlength=size)
+        raisable = (np.bincount(before, minlength=size) > 0) & (taken <= 1e-9 * times)
+        return (self.asked[level - 2] == ASKED) & (times > 0) & (unseen | raisable)
+
     def context_sums(self, level: int) -> tuple[np.ndarray, np.ndarray]:
         """Per context of this block: discounted counts and lower-order chances, of owned."""
         own = self.owned[level - 1] & (self.counts[level - 1] > 0)
@@ -478,27 +654,59 @@ def backed_off_share(times: np.ndarray, mass: np.ndarray, lower: np.ndarray) ->
     return np.where(raised, -weights, weights)
 
 
-def backoff_weights(
-    blocks: DataFrame, answers: DataFrame, stats: list[Statistics], level: int, ranges: int
-) -> DataFrame:
-    """``block, range, weights`` for the contexts asked for of n-grams of order ``level``.
+# What blocks send once they were answered: sums for the weights of order k at level -k, n-grams
+# of the next order, and at range -1 the tally of those that are counted where they stand.
+EXCHANGED = (
+    "level int, range int, block long, size int, keys binary, seen binary, times binary, "
+    "mass binary, lower binary, used binary, tally array<long>"
+)
 
-    ``answers`` and the blocks are packed before they meet.
-    """
+
+def exchanged(
+    blocks: DataFrame,
+    answers: DataFrame,
+    stats: list[Statistics],
+    level: int,
+    ranges: int,
+    last: bool = True,
+) -> DataFrame:
+    """What blocks send for the weights of order ``level``; unless ``last``, n-grams as well."""
+    top = level if last else level + 1
+    empty = _nothing(EXCHANGED)
 
     def send(left: pa.Table, right: pa.Table) -> pa.Table:
-        parts = []
-        for number, block, _ in _blocks_of(left, level):
+        parts = [empty]
+        for number, block, _ in _blocks_of(left, top):
             model = Model(block, right, stats)
             mass, lower = model.context_sums(level)
-            asked = model.asked[level - 2] == ASKED
-            parts.append(
-                _pieces(
-                    number, ranges, block.levels[level - 2].distinct[asked],
-                    times=model.counts[level - 2][asked], mass=mass[asked], lower=lower[asked],
-                )
+            used = model.used(level)
+            # Without a share in the sums and without use for the weight, nothing is sent.
+            sent = used | ((model.asked[level - 2] == ASKED) & (mass > 0))
+            sums = _pieces(
+                number, ranges, block.levels[level - 2].distinct[sent],
+                times=model.counts[level - 2][sent], mass=mass[sent], lower=lower[sent],
+                used=used[sent],
             )
-        return pa.concat_tables(parts) if parts else _nothing(sums)
+            parts.append(_at_level(sums, -level))
+            if not last:
+                grams, sent = block.levels[level], model.sent(level + 1)
+                parts.append(_at_level(_sent_grams(number, ranges, grams, sent), level + 1))
+                tally = _one_list(pa.array(_tally(grams.trained[~sent])))
+                alone = pa.table({"range": pa.array([-1], pa.int32()), "tally": tally})
+                parts.append(_at_level(alone, level + 1))
+        return pa.concat_tables(parts, promote_options="default")
+
+    return _meeting(blocks, answers).applyInArrow(
+        lambda left, right: _tidily(send, left, right), EXCHANGED
+    )
+
+
+def _at_level(table: pa.Table, level: int) -> pa.Table:
+    return table.append_column("level", pa.array(np.full(len(table), level), pa.int32()))
+
+
+def backoff_weights(sent: DataFrame, level: int) -> DataFrame:
+    """``block, range, weights`` (packed) of the contexts a block uses, for order ``level``."""
 
     def add_up(table: pa.Table) -> pa.Table:
         _, first, index = _distinct(_joined_keys(table.column("keys")))
@@ -508,23 +716,25 @@ def backoff_weights(
         lower = _joined(table.column("lower"), np.float64)
         lower = np.bincount(index, weights=lower, minlength=size)
         times = _joined(table.column("times"), np.int64)[first].astype(np.float64)
-        return _as_sent(table, weights=backed_off_share(times, mass, lower)[index])
-
-    sums = (
-        "range int, block long, size int, keys binary, times binary, mass binary, lower binary"
-    )
-    sent = _meeting(blocks, answers).applyInArrow(send, sums)
-    # Stored, so that the blocks' shuffle is gone before the sums are shuffled.
-    sent = stored(sent, f"sums-{level}", "zstd")
-    release_shuffles(blocks.sparkSession)
-    return sent.groupBy("range").applyInArrow(
-        add_up, "block long, range int, weights array<double>"
+        used = _joined(table.column("used"), np.uint8).view(bool)
+        before = np.concatenate([[0], np.cumsum(used)])
+        ends = np.cumsum(table.column("size").to_numpy())
+        sizes = np.diff(before[ends], prepend=0)
+        weights = backed_off_share(times, mass, lower)[index[used]]
+        return _as_sent(table, sizes, True, {"weights": weights})
+
+    sums = sent.filter(F.col("level") == -level)
+    return (
+        sums.select("range", "block", "size", "keys", "times", "mass", "lower", "used")
+        .groupBy("range")
+        .applyInArrow(
+            lambda table: _tidily(add_up, table), "block long, range int, weights binary"
+        )
     )
 
 
 def _meeting(blocks: DataFrame, answers: DataFrame):
-    """Each block with what it was answered, both packed on the way."""
-    blocks, answers = _carried(blocks, **CARRIED), _carried(answers, **ANSWERED)
+    """Each block with what it was answered."""
     return blocks.groupBy("block").cogroup(answers.groupBy("block"))
 
 
@@ -536,25 +746,25 @@ def _nothing(schema: str) -> pa.Table:
 
 
 def _answers(
-    counts: list[DataFrame], weights: list[DataFrame], owned: int | None = None
+    counts: list[DataFrame],
+    weights: list[DataFrame],
+    owned: int | None = None,
+    order: int | None = None,
 ) -> DataFrame:
     """All answers so far as one frame; level -k has the weights of n-grams of order k.
 
-    Owners are moved only for the order ``owned``, and what is asked for below the last order.
+    Owners are moved only for the order ``owned``, and what is asked for below the last
+    ``order``, which is that of the last counts unless given.
     """
-    none = {
-        "counts": dict(counts[0].dtypes)["counts"],
-        "owned": "array<boolean>",
-        "asked": "array<tinyint>",
-        "weights": "array<double>",
-    }
+    none = {n: kind for n, kind in counts[0].dtypes if n in ANSWERED}
+    none["weights"] = "binary" if none["counts"] == "binary" else "array<double>"
 
     def whole(table: DataFrame, level: int) -> DataFrame:
         columns = [
             F.col(n)
             if n in table.columns
             and (n != "owned" or level == owned)
-            and (n != "asked" or level < len(counts))
+            and (n != "asked" or level < (order or len(counts)))
             else F.lit(None).cast(kind).alias(n)
             for n, kind in none.items()
         ]
@@ -565,6 +775,22 @@ def _answers(
     return reduce(DataFrame.union, [whole(*table) for table in tables])
 
 
+def _turns(column: str) -> list[Column]:
+    """Conditions of which every row meets one, by its block or key range."""
+    return [F.pmod(F.xxhash64(column), F.lit(TURNS)) == i for i in range(TURNS)]
+
+
+def _stored_in_turns(spark: SparkSession, frames: Iterator[DataFrame], name: str) -> DataFrame:
+    """The frames as one ``stored`` table; after each, its shuffle files are deleted."""
+    path = f"{checkpoint_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    for frame in frames:
+        frame.write.parquet(path, mode="append", compression="zstd")
+        schema = frame.schema
+        del frame
+        release_shuffles(spark)
+    return spark.read.schema(schema).parquet(path)
+
+
 def score_documents(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` per row.
 
@@ -573,21 +799,36 @@ def score_documents(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """
     spark = docs.sparkSession
     kind = dict(docs.dtypes)["doc_id"]
-    blocks = stored(token_blocks(docs), "token-blocks", "zstd")
-    tokens = blocks.agg(F.sum(F.size("tokens"))).first()[0] or 0
+    blocks = stored(_carried(token_blocks(docs), **CARRIED), "token-blocks", "zstd")
+    tokens = blocks.select(F.explode("sizes").alias("size")).agg(F.sum("size")).first()[0] or 0
     ranges = 1 << max(3, (int(tokens) // RANGE_TOKENS).bit_length())
     number = count_kind(int(tokens))
     counts, weights, stats = [], [], []
-    for level in range(1, order + 1):
-        counts.append(stored(gram_counts(blocks, level, ranges, number), f"counts-{level}", "zstd"))
+
+    for level in range(1, min(order, 2) + 1):
+        found = gram_counts(blocks, level, ranges, number, True)
+        counts.append(stored(found, f"counts-{level}", "zstd"))
         release_shuffles(spark)
         stats.append(statistics(counts[-1], blocks, level))
-        if level > 1:
-            answers = _answers(counts, weights, level)
-            sums = backoff_weights(blocks, answers, stats, level, ranges)
-            weights.append(stored(sums, f"weights-{level}", "zstd"))
-            discard(sums)
-            release_shuffles(spark)
+    for level in range(2, order + 1):
+        answers = _answers(counts, weights, level, order)
+        # Stored, so that the blocks' shuffle is gone before the sums are shuffled.
+        turns = (
+            exchanged(blocks.filter(turn), answers.filter(turn), stats, level, ranges, level == order)
+            for turn in _turns("block")
+        )
+        sent = _stored_in_turns(spark, turns, f"sums-{level}")
+        turns = (backoff_weights(sent.filter(turn), level) for turn in _turns("range"))
+        weights.append(_stored_in_turns(spark, turns, f"weights-{level}"))
+        if level < order:
+            grams = sent.filter(F.col("level") > 0)
+            more = grams.filter(F.col("range") >= 0)
+            more = more.select("range", "block", "size", "keys", "seen")
+            turns = (_added_up(more.filter(turn), number, True) for turn in _turns("range"))
+            counts.append(_stored_in_turns(spark, turns, f"counts-{level + 1}"))
+            alone = grams.filter(F.col("range") < 0).select("tally")
+            stats.append(statistics(counts[-1], blocks, level + 1, alone))
+        discard(sent)
 
     def evaluate(left: pa.Table, right: pa.Table) -> pa.Table:
         parts = [
@@ -601,7 +842,9 @@ def score_documents(docs: DataFrame, order: int = ORDER) -> DataFrame:
         "base_score double, score double"
     )
     answers = _answers(counts, weights)
-    return _meeting(blocks, answers).applyInArrow(evaluate, schema)
+    return _meeting(blocks, answers).applyInArrow(
+        lambda left, right: _tidily(evaluate, left, right), schema
+    )
 
 
 def _scored(block: Block, model: Model, row: pa.Table, order: int) -> pa.Table:

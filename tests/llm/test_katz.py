@@ -210,3 +210,94 @@ def test_arrays_travel_packed(spark):
     empty = katz._pieces(7, 8, keys[:0], times=np.empty(0, np.int64))
     assert len(empty) == 0 and len(katz._joined_keys(empty.column("keys"))) == 0
     assert katz._unpacked(katz._packed(keys[:0]), np.uint64).tolist() == []
+
+
+def _small_blocks(monkeypatch, tokens):
+    whole = katz.token_blocks
+    monkeypatch.setattr(katz, "token_blocks", lambda docs: whole(docs, tokens))
+    monkeypatch.setattr(katz, "RANGE_TOKENS", 200)
+
+
+def test_blocks_keep_to_themselves_what_no_other_has(spark, documents, monkeypatch):
+    _small_blocks(monkeypatch, 1)
+    train = [i for i in range(100) if zlib.crc32(str(i).encode()) % 5 != 1]
+    held_out = next(i for i in range(100, 200) if zlib.crc32(str(i).encode()) % 5 == 1)
+    rows = [(train[0], "a b c d"), (train[1], "a b c e"), (train[2], "f b c d"),
+            (held_out, "x b c e y"), (train[3], "n o")]
+    kept, sent = katz._stored_in_turns, {}
+
+    def watched(session, frames, name):
+        table = kept(session, frames, name)
+        sent[name] = table.collect()
+        return table
+
+    monkeypatch.setattr(katz, "_stored_in_turns", watched)
+    expected, _, _, counts = _brute_force(rows, 3)
+    scored = {r["doc_id"]: r["score"] for r in katz.score_documents(documents(rows), 3).collect()}
+    assert [scored[i] for i, _ in rows] == pytest.approx([e[5] for e in expected], abs=1e-9)
+    grams = [r for r in sent["sums-2"] if r["level"] == 3 and r["range"] >= 0]
+    # Two have "<s> a b", two "a b c", four "b c d" or "b c e", two "c d </s>".
+    assert sum(r["size"] for r in grams) == 2 + 2 + 4 + 2
+    alone = [r["tally"] for r in sent["sums-2"] if r["level"] == 3 and r["range"] < 0]
+    assert len(alone) == len(rows)
+    shared = {("<s>", "a", "b"), ("a", "b", "c"), ("b", "c", "d"), ("b", "c", "e"),
+              ("c", "d", "</s>")}
+    assert sum(t[1] for t in alone) == len(set(counts[3]) - shared)
+    # Only the held-out text meets an unseen word after a context of others: "c e" and "e".
+    used = [
+        katz._unpacked(r["used"], np.uint8).sum() for r in sent["sums-3"] if r["level"] == -3
+    ]
+    assert sum(used) == 1
+
+
+@pytest.mark.parametrize("order", [4, 5])
+def test_scores_of_higher_orders_over_many_blocks(documents, order, monkeypatch):
+    _small_blocks(monkeypatch, 80)
+    rows = _corpus(order, 40)
+    expected, *_ = _brute_force(rows, order)
+    got = katz.score_documents(documents(rows).repartition(3), order).orderBy("doc_id").collect()
+    assert [r["score"] for r in got] == pytest.approx([e[5] for e in expected], abs=1e-9)
+
+
+def test_tables_are_stored_packed(documents, monkeypatch):
+    tables = {}
+
+    def watched(keep):
+        def kept(*args):
+            table = keep(*args)
+            tables[table.inputFiles()[0].split("/")[-2]] = table
+            return table
+
+        return kept
+
+    for name in ("stored", "_stored_in_turns"):
+        monkeypatch.setattr(katz, name, watched(getattr(katz, name)))
+    katz.score_documents(documents(_corpus(2, 10)), 3)
+    arrays = {c: k for t in tables.values() for c, k in t.dtypes if c in katz.CARRIED | katz.ANSWERED}
+    assert set(arrays) == {*katz.CARRIED, *katz.ANSWERED} and set(arrays.values()) == {"binary"}
+
+
+def test_packed_numbers_take_the_bytes_they_need():
+    few = np.arange(3, dtype=np.int64)
+    assert katz._packed(few)[4] == 1 and katz._packed(few * 0)[4] == 0
+    for values in (few, few * 0, -few, few.astype(np.float64), few > 1, few[:0]):
+        back = katz._unpacked(katz._packed(values), values.dtype)
+        assert back.dtype == values.dtype and back.tolist() == values.tolist()
+
+
+def test_hashes_that_agree_in_leading_bits_are_told_apart():
+    pick = np.random.default_rng(5)
+    near = np.concatenate([np.uint64(5 << 60) + np.arange(7, dtype=np.uint64)] * 9)
+    far = pick.integers(0, 1 << 63, 4000, dtype=np.uint64)
+    for keys in (near, np.concatenate([near[::-1], far, near, far[::2]]), far[:1], far[:0], far[[0, 0]],
+                 pick.permutation(np.arange(5000, dtype=np.uint64)).repeat(2) + far[0]):
+        assert katz._sorting(keys).tolist() == np.argsort(keys, kind="stable").tolist()
+
+
+def test_slices_of_texts_change_nothing(monkeypatch):
+    texts = katz.pa.array(["a b", None, "", "c " * 50, " a  C", "b"])
+    whole = katz._hashed(texts)
+    monkeypatch.setattr(katz, "SLICE_BYTES", 4)
+    sizes, hashes = katz._hashed(texts)
+    assert sizes.tolist() == whole[0].tolist() == [2, 0, 0, 50, 2, 1]
+    assert hashes.tolist() == whole[1].tolist()
