@@ -54,7 +54,7 @@ SLICE_BYTES = 8 << 20
 RANGE_TOKENS = 1 << 21
 # What was sent is added up in so many turns; shuffle files of one are gone before the next.
 # Blocks meet their answers in as many.
-TURNS = 3
+TURNS = 2
 # Counts above this are trusted as they are.
 LAST_DISCOUNTED = 5
 START, END = np.uint64(1), np.uint64(2)
